@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Published response-surface coefficients of the unit-root test with a constant, one series.
 TAU_MAX, TAU_MIN, TAU_STAR = 2.74, -18.83, -1.61
@@ -32,7 +33,7 @@ def unit_root_critical(p: float) -> float:
     return hi
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def unit_root_p_column(stat: pd.Series) -> pd.Series:
     return stat.map(lambda s: None if pd.isna(s) else unit_root_p(s)).astype("float64")
 
@@ -70,7 +71,7 @@ def correlation_p(r, n):
     return np.where(df > 0, _incomplete_beta(np.maximum(df, 1) / 2, 0.5, inside), np.nan)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p_column(r: pd.Series, n: pd.Series) -> pd.Series:
     out = pd.Series(np.nan, index=r.index)
     ok = r.notna() & n.notna()

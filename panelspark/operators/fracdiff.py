@@ -1,8 +1,11 @@
-"""Fractional differencing with a fixed window, and the search for the smallest stationary order."""
+"""Fractional differencing with a fixed window, and the search for the smallest stationary order.
 
-from functools import reduce
+Filters are up to a thousand rows long, too long for a window expression, so they run on Arrow batches of
+one ticker. A ticker has one row per day: a century is 36,525 rows, whatever the size of the panel.
+"""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,9 +14,6 @@ from panelspark.functions.rolling import div, series
 from panelspark.functions.stats import unit_root_critical, unit_root_p_column
 from panelspark.schema import ADF_P, D_GRID, FFD_MAX_SIZE, FFD_THRESH, MIN_ADF_ROWS
 
-# Up to this many weights a filter is written as lags (in the JVM); longer ones convolve in Arrow batches.
-LAG_FORM_ROWS = 128
-
 
 def ffd_weights(d: float, thresh: float = FFD_THRESH, max_size: int = FFD_MAX_SIZE) -> list:
     """Binomial weights of (1 - B) ** d, newest first, cut at the first one below ``thresh``."""
@@ -35,124 +35,144 @@ def column_name(d: float) -> str:
     return f"ffd_{round(d * 1000):04d}"
 
 
-def ffd(df: DataFrame, grid, y="log_close", thresh: float = FFD_THRESH, form: str = "auto") -> DataFrame:
+def ffd(df: DataFrame, grid, y="log_close", thresh: float = FFD_THRESH, form: str = "convolve") -> DataFrame:
     """Add one differenced column per order in ``grid`` (see ``column_name``).
 
     The first rows of a ticker, up to the filter length, are null. A ticker shorter than the filter keeps
     the newest weights that fit and yields a value on its last row only.
-    form: "lags" (one window of lags shared by all orders), "arrays" (a frame of values folded against
-    the weights; a cross-check for short filters), "convolve" (one Arrow batch per ticker), "auto".
+    form "convolve": one Arrow batch per ticker, all orders together. form "arrays": a frame of values
+    folded against the weights in the JVM, a cross-check whose cost per row grows with the filter.
     """
     weights = {d: ffd_weights(d, thresh) for d in grid}
-    longest = max(len(w) for w in weights.values())
-    if form == "auto":
-        form = "lags" if longest <= LAG_FORM_ROWS else "convolve"
     if form == "convolve":
         return _ffd_convolve(df, weights, y)
+    if form != "arrays":
+        raise ValueError(f"unknown form {form!r}")
     by_date = series()
+    total = by_date.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sized = df.withColumns({
-        "__rows": F.count(F.lit(1)).over(by_date.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        "__vals": F.count(y).over(by_date.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        "__row": F.row_number().over(by_date),
-        **({f"__lag{k}": F.lag(y, k).over(by_date) for k in range(1, longest)} if form == "lags" else
-           {f"__frame{i}": F.collect_list(y).over(by_date.rowsBetween(-(len(w) - 1), 0))
-            for i, w in enumerate(weights.values())}),
+        "__rows": F.count(F.lit(1)).over(total), "__row": F.row_number().over(by_date),
+        **{f"__frame{i}": F.collect_list(y).over(by_date.rowsBetween(-(len(w) - 1), 0))
+           for i, w in enumerate(weights.values())},
     })
     out = {}
     for i, (d, w) in enumerate(weights.items()):
-        short_end = (F.col("__rows") < len(w)) & (F.col("__row") == F.col("__rows")) & (F.col("__vals") == F.col("__rows"))
-        if form == "lags":
-            terms = [F.lit(w[0]) * F.col(y)] + [F.lit(w[k]) * F.col(f"__lag{k}") for k in range(1, len(w))]
-            full = reduce(lambda a, b: a + b, terms)
-            part = reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0.0)) for t in terms])
-        else:
-            frame = F.col(f"__frame{i}")
-            tail = F.slice(F.array(*[F.lit(x) for x in reversed(w)]), -F.size(frame), F.size(frame))
-            part = F.aggregate(F.zip_with(frame, tail, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-            full = F.when(F.size(frame) == len(w), part)
-        out[column_name(d)] = F.when(F.col("__row") >= len(w), full).when(short_end, part)
+        frame = F.col(f"__frame{i}")
+        newest = F.slice(F.array(*[F.lit(x) for x in reversed(w)]), -F.size(frame), F.size(frame))
+        dot = F.aggregate(F.zip_with(frame, newest, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        at_end = (F.col("__row") == F.col("__rows")) & (F.size(frame) == F.col("__rows"))
+        out[column_name(d)] = F.when((F.size(frame) == len(w)) | at_end, dot)
     return sized.select(*df.columns, *[c.alias(n) for n, c in out.items()])
 
 
 def _ffd_convolve(df: DataFrame, weights: dict, y: str) -> DataFrame:
-    """Long filters: a ticker (one row per day, so bounded by the calendar) convolved in one Arrow batch."""
     schema = T.StructType(list(df.schema.fields) + [T.StructField(column_name(d), T.DoubleType()) for d in weights])
     filters = {column_name(d): np.array(w) for d, w in weights.items()}
 
-    def one_ticker(pdf):
-        pdf = pdf.sort_values("date")
-        values = pdf[y].to_numpy(dtype=float)
-        n = len(values)
+    def one_ticker(rows):
+        rows = rows.sort_by("date")
+        values = _doubles(rows, y)
         for name, w in filters.items():
-            w = w[:n]
-            result = np.full(n, np.nan)
-            result[len(w) - 1:] = np.convolve(values, w, mode="valid")
-            pdf[name] = result
-        return pdf.astype({c: object for c in filters}).where(pdf.notna(), None) if n else pdf
+            rows = rows.append_column(name, _nullable(differenced(values, w)))
+        return rows
+
+    return df.groupBy("ticker").applyInArrow(one_ticker, schema)
+
+
+def _doubles(rows: pa.Table, column: str) -> np.ndarray:
+    return rows.column(column).to_pandas().to_numpy(dtype=float)
+
+
+def _nullable(values) -> pa.Array:
+    return pa.array(values, type=pa.float64(), from_pandas=True)
+
 
-    return df.groupBy("ticker").applyInPandas(one_ticker, schema)
+def differenced(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The filter applied to one ordered series, NaN where it does not fit."""
+    out = np.full(len(values), np.nan)
+    w = weights[:len(values)]
+    if len(w):
+        out[len(w) - 1:] = np.convolve(values, w, mode="valid")
+    return out
 
 
-def _moment_inputs(df: DataFrame, grid) -> DataFrame:
-    """Per order: the change, the level before it and the change before that (null unless all exist)."""
+# A determinant at rounding level means a constant or perfectly fitted series: no test.
+SINGULAR = 1e-14
+
+
+def unit_root_stat(x: np.ndarray) -> float:
+    """The test statistic of one differenced series without its warm-up; NaN where there is no test."""
+    x = x[~np.isnan(x)]
+    if len(x) < MIN_ADF_ROWS:
+        return np.nan
+    step = np.diff(x)
+    (a, c, p), (_, b, q), (_, _, s) = np.cov(np.vstack([x[1:-1], step[:-1], step[1:]]))
+    det, m = a * b - c * c, len(step) - 1
+    if not det > SINGULAR * a * b:
+        return np.nan
+    g, h = (p * b - q * c) / det, (q * a - p * c) / det
+    spread = (m - 1) * (s - g * p - h * q) / (m - 3) * b / ((m - 1) * det)
+    return g / np.sqrt(spread) if spread > 0 else np.nan
+
+
+def unit_root(df: DataFrame, columns) -> DataFrame:
+    """(ticker, column, n_obs, stat) of the lag-1 test with a constant, for stored columns.
+
+    All in the JVM: two lags per column and one aggregate of second moments per ticker. ``stat`` is null
+    (p = 1) where fewer than 50 values exist or the series is constant.
+    """
     w = series()
-    lagged = {}
-    for d in grid:
-        x = column_name(d)
-        lagged[f"__u_{x}"] = F.lag(x, 1).over(w)
-        lagged[f"__z_{x}"] = F.lag(x, 2).over(w)
-    df = df.withColumns(lagged)
-    inputs = {}
-    for d in grid:
-        x = column_name(d)
-        u, z = F.col(f"__u_{x}"), F.col(f"__z_{x}")
-        ok = F.col(x).isNotNull() & u.isNotNull() & z.isNotNull()
-        inputs[f"__dy_{x}"] = F.when(ok, F.col(x) - u)
-        inputs[f"__du_{x}"] = F.when(ok, u - z)
-        inputs[f"__u_{x}"] = F.when(ok, u)
-    return df.withColumns(inputs).drop(*[f"__z_{column_name(d)}" for d in grid])
-
-
-def _moments(d: float) -> dict:
-    x = column_name(d)
-    u, v, y = F.col(f"__u_{x}"), F.col(f"__du_{x}"), F.col(f"__dy_{x}")
-    return {
-        f"n_{x}": F.count(x), f"m_{x}": F.count(u),
-        f"a_{x}": F.var_samp(u), f"b_{x}": F.var_samp(v), f"c_{x}": F.covar_samp(u, v),
-        f"p_{x}": F.covar_samp(u, y), f"q_{x}": F.covar_samp(v, y), f"s_{x}": F.var_samp(y),
-    }
-
-
-def _statistic(d: float):
-    """t-statistic of g in dy = c + g * y[-1] + h * dy[-1], from centred second moments."""
-    x = column_name(d)
-    m, a, b, c, p, q, s = (F.col(f"{k}_{x}") for k in "mabcpqs")
+    lags = {}
+    for x in columns:
+        lags |= {f"__1_{x}": F.lag(x, 1).over(w), f"__2_{x}": F.lag(x, 2).over(w)}
+    lagged = df.select("ticker", *columns, *[c.alias(n) for n, c in lags.items()])
+    sums = lagged.groupBy("ticker").agg(*[_moments(x).alias(f"__m_{x}") for x in columns])
+    rows = F.array(*[F.struct(F.lit(x).alias("column"), F.col(f"__m_{x}.n").alias("n_obs"),
+                              _statistic(F.col(f"__m_{x}")).alias("stat")) for x in columns])
+    return sums.select("ticker", F.inline(rows))
+
+
+def _moments(x: str):
+    """Counts and second moments of the level before (u), the change before (v) and the change (y)."""
+    before, two = F.col(f"__1_{x}"), F.col(f"__2_{x}")
+    ok = F.col(x).isNotNull() & before.isNotNull() & two.isNotNull()
+    u, v, y = F.when(ok, before), F.when(ok, before - two), F.when(ok, F.col(x) - before)
+    return F.struct(
+        F.count(x).alias("n"), F.count(u).alias("m"), F.var_samp(u).alias("a"), F.var_samp(v).alias("b"),
+        F.covar_samp(u, v).alias("c"), F.covar_samp(u, y).alias("p"), F.covar_samp(v, y).alias("q"),
+        F.var_samp(y).alias("s"))
+
+
+def _statistic(moments):
+    m, a, b, c, p, q, s = (moments[k] for k in "mabcpqs")
     det = a * b - c * c
     g, h = div(p * b - q * c, det), div(q * a - p * c, det)
-    rss = (m - 1) * (s - g * p - h * q)
-    spread = div(rss, m - 3) * div(b, (m - 1) * det)
-    # A determinant or residual at rounding level means a constant or perfectly fitted series: no test.
-    sound = (det > F.lit(1e-14) * a * b) & (spread > 0)
-    stat = div(g, F.sqrt(F.when(sound, spread)))
-    return F.when(F.col(f"n_{x}") >= MIN_ADF_ROWS, stat)
+    spread = div((m - 1) * (s - g * p - h * q), m - 3) * div(b, (m - 1) * det)
+    sound = (moments["n"] >= MIN_ADF_ROWS) & (det > F.lit(SINGULAR) * a * b) & (spread > 0)
+    return F.when(sound, div(g, F.sqrt(F.when(sound, spread))))
 
 
-def unit_root_table(df: DataFrame, grid=None, y="log_close", thresh: float = FFD_THRESH, form="auto",
+def unit_root_table(df: DataFrame, grid=None, y="log_close", thresh: float = FFD_THRESH,
                     p_values: bool = False) -> DataFrame:
     """(ticker, d, n_obs, stat) for each order: the unit-root test of the differenced series.
 
-    ``stat`` is null (p = 1) where fewer than 50 values remain. All orders share one pass: the moments
-    are aggregated as columns, so the panel is never multiplied by the grid.
+    One exchange by ticker; each ticker tries every order on its own batch and returns one row per
+    order, so the panel is never multiplied by the grid.
     """
-    grid = list(D_GRID if grid is None else grid)
-    wide = _moment_inputs(ffd(df.select("ticker", "date", y), grid, y, thresh, form), grid)
-    aggregates = {n: c for d in grid for n, c in _moments(d).items()}
-    sums = wide.groupBy("ticker").agg(*[c.alias(n) for n, c in aggregates.items()])
-    rows = F.array(*[
-        F.struct(F.lit(float(d)).alias("d"), F.col(f"n_{column_name(d)}").alias("n_obs"), _statistic(d).alias("stat"))
-        for d in grid
-    ])
-    table = sums.select("ticker", F.inline(rows))
+    filters = {float(d): np.array(ffd_weights(d, thresh)) for d in (D_GRID if grid is None else grid)}
+
+    def one_ticker(rows):
+        rows = rows.sort_by("date")
+        series_by_d = [differenced(_doubles(rows, y), w) for w in filters.values()]
+        return pa.table({
+            "ticker": pa.array([rows.column("ticker")[0].as_py()] * len(filters), pa.string()),
+            "d": pa.array(list(filters), pa.float64()),
+            "n_obs": pa.array([int((~np.isnan(x)).sum()) for x in series_by_d], pa.int64()),
+            "stat": _nullable([unit_root_stat(x) for x in series_by_d]),
+        })
+
+    table = df.select("ticker", "date", y).groupBy("ticker") \
+        .applyInArrow(one_ticker, "ticker string, d double, n_obs long, stat double")
     if p_values:
         table = table.withColumn("p_value", F.coalesce(unit_root_p_column("stat"), F.lit(1.0)))
     return table
@@ -165,26 +185,35 @@ def optimal_d(tests: DataFrame, p_threshold: float = ADF_P) -> DataFrame:
 
 
 def fracdiff_panel(bars: DataFrame, benchmarks=(), grid=None, p_threshold: float = ADF_P,
-                   thresh: float = FFD_THRESH, form="auto") -> DataFrame:
+                   thresh: float = FFD_THRESH) -> DataFrame:
     """Add log_close, fracdiff_d and fracdiff_close.
 
-    The search and the final series come from one pass: the moments are totals over the ticker's own
-    window, so the chosen order is already on every row and needs no join. Benchmarks keep their log
-    price (order 0).
+    Search and final series share one exchange by ticker: a ticker's batch tries the orders from the
+    smallest, stops at the first that passes and returns its series. Benchmarks keep their log price
+    (order 0).
     """
-    grid = list(D_GRID if grid is None else grid)
-    with_one = grid + ([1.0] if 1.0 not in grid else [])
-    wide = _moment_inputs(ffd(log_price(bars), with_one, "log_close", thresh, form), grid)
-    total = series().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    wide = wide.withColumns({n: c.over(total) for d in grid for n, c in _moments(d).items()})
-    critical = F.lit(unit_root_critical(p_threshold))
-    chosen = F.coalesce(*[F.when(_statistic(d) < critical, F.lit(float(d))) for d in sorted(grid)], F.lit(1.0))
-    fixed = F.col("ticker").isin(list(benchmarks)) if benchmarks else F.lit(False)
-    wide = wide.withColumn("fracdiff_d", F.when(fixed, F.lit(0.0)).otherwise(chosen))
-    value = F.when(F.col("fracdiff_d") == 0.0, F.col("log_close"))
-    for d in with_one:
-        value = value.when(F.col("fracdiff_d") == float(d), F.col(column_name(d)))
-    return wide.withColumn("fracdiff_close", value).select(*bars.columns, "log_close", "fracdiff_d", "fracdiff_close")
+    orders = sorted(D_GRID if grid is None else grid)
+    filters = [(float(d), np.array(ffd_weights(d, thresh))) for d in orders]
+    last_resort = (1.0, np.array(ffd_weights(1.0, thresh)))
+    critical, fixed = unit_root_critical(p_threshold), frozenset(benchmarks)
+    logs = log_price(bars)
+    schema = T.StructType(list(logs.schema.fields) + [
+        T.StructField("fracdiff_d", T.DoubleType()), T.StructField("fracdiff_close", T.DoubleType())])
+
+    def one_ticker(rows):
+        rows = rows.sort_by("date")
+        values = _doubles(rows, "log_close")
+        if rows.column("ticker")[0].as_py() in fixed:
+            d, result = 0.0, values
+        else:
+            tried = ((d, differenced(values, w)) for d, w in filters)
+            passed = ((d, x) for d, x in tried if unit_root_stat(x) < critical)
+            d, result = next(passed, (last_resort[0], None))
+            result = differenced(values, last_resort[1]) if result is None else result
+        return rows.append_column("fracdiff_d", pa.array(np.full(len(values), d))) \
+            .append_column("fracdiff_close", _nullable(result))
+
+    return logs.groupBy("ticker").applyInArrow(one_ticker, schema)
 
 
 def d_per_ticker(panel: DataFrame) -> DataFrame:
