@@ -4,7 +4,7 @@ The recursion ``y[t] = (1 - a) * y[t-1] + a * x[t]`` with ``y = x`` at the first
 series is cut into blocks of ``B`` rows. Inside a block the mean is a running sum of
 ``a * x * (1 - a) ** -offset``, scaled back by ``(1 - a) ** offset``; the block before adds its own end
 value times ``(1 - a) ** (offset + 1)``; everything older weighs less than ``(1 - a) ** B`` and cannot
-change a double. ``B`` is chosen so that the scale stays below 1e250. Recent terms always carry the
+change a double. The scale stays below 1e250. Recent terms always carry the
 largest scale, so nothing cancels. All windows are partitioned by ticker: one exchange, no Python, and
 constant work per row for any span.
 
@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.rolling import KEY, TIME
+from panelspark.functions.rolling import BLOCK, KEY, TIME, block_windows, in_blocks
 
 SCALE_DIGITS = 250
 NEGLIGIBLE = 1e-24
@@ -36,36 +36,35 @@ def ewm(df: DataFrame, specs: dict, min_periods: dict = None, key=KEY, time=TIME
     """Add one exponentially weighted mean per entry of ``specs``: name -> (input column, alpha).
 
     ``min_periods`` gives, per name, how many values must have been seen before the mean is shown.
-    All means of one call share their windows; 0 < alpha < 1.
+    All means of one call share their windows, and the blocks of ``df`` if it has them; 0 < alpha < 1.
     """
-    block = min(block_rows(a) for _, a in specs.values())
+    largest = min(block_rows(a) for _, a in specs.values())
+    if "__block" in df.columns and largest < BLOCK:
+        raise ValueError("weights this steep need shorter blocks than the frame already has")
+    block = BLOCK if "__block" in df.columns else min(largest, BLOCK)
     if any((1.0 - a) ** block > NEGLIGIBLE for _, a in specs.values()):
-        raise ValueError("these weights differ too much for common blocks; call ewm once for each")
-    keys = [key] if isinstance(key, str) else list(key)
+        raise ValueError("weights this flat need longer blocks")
     keep, need = df.columns, min_periods or {}
-    past = Window.partitionBy(*keys).orderBy(time)
-    upto = past.rowsBetween(Window.unboundedPreceding, 0)
-    inside = Window.partitionBy(*keys, "__block").orderBy(time)
-    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    across = Window.partitionBy(*keys).orderBy("__block", time)
+    df = in_blocks(df, block, key, time)
+    across, head, whole = block_windows(key, time)
 
+    counted = {}
+    for n, (x, _) in specs.items():
+        counted.setdefault(x, f"__n_{n}")
     df = df.withColumns({
-        "__row": F.row_number().over(past) - 1,
-        **{f"__n_{n}": F.count(F.col(x)).over(upto) for n, (x, _) in specs.items()},
-    })
-    df = df.withColumns({"__block": F.floor(F.col("__row") / F.lit(block)), "__at": F.col("__row") % block})
+        c: F.count(x).over(across.rowsBetween(Window.unboundedPreceding, 0)) for x, c in counted.items()})
     scaled = {}
     for n, (x, a) in specs.items():
-        weight = F.when(F.col(f"__n_{n}") == 1, 1.0).otherwise(a)
+        weight = F.when(F.col(counted[x]) == 1, 1.0).otherwise(a)
         scaled[n] = F.coalesce(weight * F.col(x) * F.pow(F.lit(1.0 - a), -F.col("__at")), F.lit(0.0))
     df = df.withColumns({
-        **{f"__s_{n}": F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)) for n, c in scaled.items()},
+        **{f"__s_{n}": F.sum(c).over(head) for n, c in scaled.items()},
         **{f"__t_{n}": F.sum(c).over(whole) for n, c in scaled.items()},
     })
     df = df.withColumns({f"__b_{n}": F.coalesce(F.lag(f"__t_{n}", block).over(across), F.lit(0.0)) for n in specs})
     out = {}
-    for n, (_, a) in specs.items():
+    for n, (x, a) in specs.items():
         here = F.col(f"__s_{n}") * F.pow(F.lit(1.0 - a), F.col("__at"))
         before = F.col(f"__b_{n}") * F.lit((1.0 - a) ** (block - 1)) * F.pow(F.lit(1.0 - a), F.col("__at") + 1)
-        out[n] = F.when(F.col(f"__n_{n}") >= need.get(n, 1), here + before)
+        out[n] = F.when(F.col(counted[x]) >= need.get(n, 1), here + before)
     return df.select(*keep, *[c.alias(n) for n, c in out.items()])

@@ -55,27 +55,58 @@ def std(x, n, w=None) -> Column:
     return roll(F.stddev_samp, x, n, w)
 
 
+BLOCK = 2048
+BLOCK_COLUMNS = ["__block", "__at"]
+
+
+def in_blocks(df, rows=BLOCK, key=KEY, time=TIME):
+    """Number a series' blocks of ``rows`` rows (``__block``) and the places inside them (``__at``).
+
+    Block sums replace frames that would be too long to evaluate row by row. Operators that need blocks
+    share them: add the columns once, and every window ordered by block and time reuses one sort.
+    """
+    if "__block" in df.columns:
+        return df
+    keys = [key] if isinstance(key, str) else list(key)
+    row = F.row_number().over(Window.partitionBy(*keys).orderBy(time)) - 1
+    return df.withColumn("__row", row) \
+        .withColumns({"__block": F.floor(F.col("__row") / F.lit(rows)), "__at": F.col("__row") % rows}).drop("__row")
+
+
+def block_windows(key=KEY, time=TIME):
+    """(whole series, head of the block up to the row, whole block): all three have the same sort order."""
+    keys = [key] if isinstance(key, str) else list(key)
+    across = Window.partitionBy(*keys).orderBy("__block", time)
+    inside = Window.partitionBy(*keys, "__block").orderBy(time)
+    return (across, inside.rowsBetween(Window.unboundedPreceding, 0),
+            inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+
 def long_sums(df, n, sums, key=KEY, time=TIME):
     """Add the sum of each column of ``sums`` (name -> column) over the last ``n`` rows, at constant
     cost per row; nulls count as zero and short frames are summed as they are.
 
-    Spark evaluates a sliding frame in O(n) per row, which a long frame cannot afford. Here a series is
-    cut into blocks of ``n`` rows: a frame is the head of its own block plus the tail of the block
-    before, and the latter is found exactly ``n`` rows earlier. The sums restart in every block, so an
-    extreme value affects no more than the next ``n`` rows.
+    Spark evaluates a sliding frame in O(n) per row, which a long frame cannot afford. Here a frame is the
+    head of the row's block less the head ``n`` rows earlier, plus the rest of the block before when the
+    frame starts there. Sums restart in every block, so rounding does not build up along a series and an
+    extreme value affects the next block at most. ``n`` must not exceed the block length.
     """
-    keys = [key] if isinstance(key, str) else list(key)
+    if n > BLOCK:
+        raise ValueError(f"frames of more than {BLOCK} rows need longer blocks")
     keep = df.columns
-    inside = Window.partitionBy(*keys, "__block").orderBy(time)
-    head = inside.rowsBetween(Window.unboundedPreceding, 0)
-    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    across = Window.partitionBy(*keys).orderBy("__block", time)
-    row = F.row_number().over(Window.partitionBy(*keys).orderBy(time)) - 1
-    df = df.withColumn("__block", F.floor(row / F.lit(n)))
+    df = in_blocks(df, BLOCK, key, time)
+    across, head, whole = block_windows(key, time)
     values = {k: F.coalesce(as_col(c).cast("double"), F.lit(0.0)) for k, c in sums.items()}
     df = df.withColumns({
         **{f"__h_{k}": F.sum(c).over(head) for k, c in values.items()},
         **{f"__t_{k}": F.sum(c).over(whole) for k, c in values.items()},
     })
-    tail = {k: F.lag(F.col(f"__t_{k}") - F.col(f"__h_{k}"), n).over(across) for k in sums}
-    return df.select(*keep, *[(F.col(f"__h_{k}") + F.coalesce(t, F.lit(0.0))).alias(k) for k, t in tail.items()])
+    earlier = F.lag(F.struct("__block", *[f"__h_{k}" for k in sums], *[f"__t_{k}" for k in sums]), n).over(across)
+    df = df.withColumn("__earlier", earlier)
+    before = F.col("__earlier.__block")
+    out = {}
+    for k in sums:
+        old, total = F.col(f"__earlier.__h_{k}"), F.col(f"__earlier.__t_{k}")
+        here = F.col(f"__h_{k}")
+        out[k] = F.when(before.isNull(), here).when(before == F.col("__block"), here - old).otherwise(here + (total - old))
+    return df.select(*keep, *[c.alias(k) for k, c in out.items()])

@@ -6,10 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.ewm import ewm, span_alpha
-from panelspark.functions.rolling import as_col, change, div, long_sums, mean, series, std
+from panelspark.functions.rolling import as_col, block_windows, change, div, in_blocks, long_sums, mean, series, std
 
 LN2 = math.log(2.0)
 
+FEATURES = [
+    "dollar_volume",
+    "parkinson_vol_10", "parkinson_vol_20", "garman_klass_vol_10", "garman_klass_vol_20",
+    "amihud_illiq_20", "atr_20", "vol_regime", "volume_zscore",
+    "sma_10", "sma_20", "sma_50", "close_to_sma20", "rsi_14",
+    "macd", "macd_signal", "macd_hist", "bb_upper", "bb_lower", "bb_width",
+    "realized_vol_10", "realized_vol_20", "hl_spread", "volume_sma_10", "volume_change",
+    "return_lag_1", "return_lag_2", "return_lag_3", "return_lag_5",
+    "momentum_5", "momentum_10", "momentum_20",
+]
+
 
 def _log_ratio(a, b) -> Column:
     return F.log(div(a, b))
@@ -23,7 +34,11 @@ def parkinson(n: int = 20, high="high", low="low") -> Column:
 def garman_klass(n: int = 20, open_="open", high="high", low="low", close="close") -> Column:
     hl, co = _log_ratio(high, low), _log_ratio(close, open_)
     term = F.lit(0.5) * hl * hl - F.lit(2 * LN2 - 1) * co * co
-    level = mean(term, n)
+    return _root(mean(term, n))
+
+
+def _root(level: Column) -> Column:
+    """Square root of a mean that may be negative (taken as 0); ``greatest`` alone would hide nulls."""
     return F.when(level.isNotNull(), F.sqrt(F.greatest(level, F.lit(0.0))))
 
 
@@ -62,7 +77,7 @@ def rsi(df: DataFrame, period: int = 14, close="close", name="rsi_14") -> DataFr
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, close="close") -> DataFrame:
     """MACD line, its signal and the difference."""
-    lines = ewm(df, {"__fast": (close, span_alpha(fast)), "__slow": (close, span_alpha(slow))})
+    lines = ewm(in_blocks(df), {"__fast": (close, span_alpha(fast)), "__slow": (close, span_alpha(slow))})
     lines = lines.withColumn("macd", F.col("__fast") - F.col("__slow"))
     lines = ewm(lines, {"macd_signal": ("macd", span_alpha(signal))})
     return lines.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")) \
@@ -72,7 +87,7 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, close="
 def momentum_indicators(df: DataFrame) -> DataFrame:
     """RSI and MACD with the standard periods in one chain: the four averages share their windows."""
     alpha = 1.0 / 14
-    out = _gains_and_losses(df, "close")
+    out = _gains_and_losses(in_blocks(df), "close")
     out = ewm(out, {
         "__avg_gain": ("__gain", alpha), "__avg_loss": ("__loss", alpha),
         "__fast": ("close", span_alpha(12)), "__slow": ("close", span_alpha(26)),
@@ -87,7 +102,8 @@ def momentum_indicators(df: DataFrame) -> DataFrame:
 
 
 def _gains_and_losses(df: DataFrame, close) -> DataFrame:
-    delta = F.col(close) - F.lag(close).over(series())
+    w = block_windows()[0] if "__block" in df.columns else series()
+    delta = F.col(close) - F.lag(close).over(w)
     return df.withColumn("__delta", delta).withColumns({
         "__gain": F.when(F.col("__delta").isNotNull(), F.greatest(F.col("__delta"), F.lit(0.0))),
         "__loss": F.when(F.col("__delta").isNotNull(), F.greatest(-F.col("__delta"), F.lit(0.0))),
@@ -144,31 +160,38 @@ def with_sector(df: DataFrame, universe: DataFrame, small: bool = False) -> Data
 def engineer_features(panel: DataFrame, universe: DataFrame = None, short: int = 20, long: int = 200) -> DataFrame:
     """All features of a panel that has daily_return.
 
-    Every window has the same partitioning and order, so the whole function costs one exchange and
-    one sort by ticker (none when the input already has them).
+    Every window is partitioned by ticker, so the function costs one exchange (none when the input is
+    partitioned that way) and two sorts: by date, and by block and date for the long memories.
     """
     df = with_sector(panel, universe) if universe is not None else panel
-    df = df.withColumns({"dollar_volume": F.col("close") * F.col("volume"), "__tr": true_range()})
-    df = vol_regime(df, short, long, "__tr")
+    keep = df.columns
+    hl, co = _log_ratio("high", "low"), _log_ratio("close", "open")
     df = df.withColumns({
-        "parkinson_vol_10": parkinson(10), "parkinson_vol_20": parkinson(20),
-        "garman_klass_vol_10": garman_klass(10), "garman_klass_vol_20": garman_klass(20),
-        "amihud_illiq_20": amihud(20),
-        "atr_20": atr(short, "__tr"),
-        "volume_zscore": volume_zscore(20),
-        **moving_averages(),
-        "__bb_std": std("close", 20),
+        "dollar_volume": F.col("close") * F.col("volume"), "__tr": true_range(), "__hl2": hl * hl,
+        "__gk": F.lit(0.5) * hl * hl - F.lit(2 * LN2 - 1) * co * co,
+    })
+    df = df.withColumn("__illiq", div(F.abs("daily_return"), "dollar_volume") * 1e6)
+    df = df.withColumns({
+        **{f"__pk_{n}": mean("__hl2", n) for n in (10, 20)},
+        **{f"__gk_{n}": mean("__gk", n) for n in (10, 20)},
+        "amihud_illiq_20": mean("__illiq", 20), "atr_20": atr(short, "__tr"),
+        "__v_mean": mean("volume", 20), "__v_std": std("volume", 20),
+        **moving_averages(), "__bb_std": std("close", 20),
         "realized_vol_10": realized_vol(10), "realized_vol_20": realized_vol(20),
-        "hl_spread": hl_spread(),
-        "volume_sma_10": mean("volume", 10),
-        "volume_change": change("volume"),
-        **return_lags(),
-        **momentum(),
+        "volume_sma_10": mean("volume", 10), "volume_change": change("volume"),
+        **return_lags(), **momentum(),
     })
     df = df.withColumns({
+        **{f"parkinson_vol_{n}": F.sqrt(F.col(f"__pk_{n}") / F.lit(4 * LN2)) for n in (10, 20)},
+        **{f"garman_klass_vol_{n}": _root(F.col(f"__gk_{n}")) for n in (10, 20)},
+        "volume_zscore": div(F.col("volume") - F.col("__v_mean"), "__v_std"),
         "close_to_sma20": div("close", "sma_20"),
+        "hl_spread": hl_spread(),
         "bb_upper": F.col("sma_20") + 2 * F.col("__bb_std"),
         "bb_lower": F.col("sma_20") - 2 * F.col("__bb_std"),
     })
     df = df.withColumn("bb_width", div(F.col("bb_upper") - F.col("bb_lower"), "sma_20"))
-    return momentum_indicators(df.drop("__tr", "__bb_std"))
+    df = long_sums(in_blocks(df), long, {"__n": F.when(F.col("__tr").isNotNull(), 1.0), "__tr_sum": F.col("__tr")})
+    slow = F.when(F.col("__n") == long, F.col("__tr_sum") / F.lit(float(long)))
+    df = df.withColumn("vol_regime", div("atr_20", slow))
+    return momentum_indicators(df).select(*keep, *FEATURES)

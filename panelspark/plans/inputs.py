@@ -16,6 +16,7 @@ from panelspark.storage import materialize
 
 MARKET = "MKT"
 ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+DAY_ORDER = ORDER[1:]  # inside one day
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,7 @@ def supplier_ticker(key="l_suppkey"):
 
 def daily_bars(spark, sf_dir, start=None, end=None, composite=MARKET) -> DataFrame:
     rows = date_range(table(spark, sf_dir, "lineitem"), start, end, "l_shipdate")
-    return build_bars(rows, supplier_ticker(), F.to_date("l_shipdate"), price(), "l_quantity", ORDER, composite)
+    return build_bars(rows, supplier_ticker(), F.to_date("l_shipdate"), price(), "l_quantity", DAY_ORDER, composite, "l_suppkey")
 
 
 def weekly_bars(spark, sf_dir, composite=MARKET) -> DataFrame:
@@ -54,7 +55,7 @@ def holey_bars(spark, sf_dir) -> DataFrame:
     nothing else has null prices."""
     rows = table(spark, sf_dir, "lineitem")
     kept = F.when(F.col("l_returnflag") != "R", price())
-    return build_bars(rows, supplier_ticker(), F.to_date("l_shipdate"), kept, "l_quantity", ORDER)
+    return build_bars(rows, supplier_ticker(), F.to_date("l_shipdate"), kept, "l_quantity", DAY_ORDER, key="l_suppkey")
 
 
 def supplier_universe(spark, sf_dir) -> DataFrame:
