@@ -12,8 +12,14 @@ def read_bars(spark: SparkSession, path, start=None, end=None, tickers=None, ski
     ``start`` and ``end`` are inclusive dates or 'YYYY-MM-DD' strings. Unreadable files are skipped.
     """
     df = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).schema(BAR).parquet(path)
+    if "year" in df.columns:  # the layout of ``sinks.write_bars``: whole years are skipped
+        if start is not None:
+            df = df.filter(F.col("year") >= int(str(start)[:4]))
+        if end is not None:
+            df = df.filter(F.col("year") <= int(str(end)[:4]))
     df = date_range(df, start, end)
-    return df.filter(F.col("ticker").isin(list(tickers))) if tickers is not None else df
+    df = df.filter(F.col("ticker").isin(list(tickers))) if tickers is not None else df
+    return df.select(*BAR.names)
 
 
 def read_ticker_files(spark: SparkSession, path, pattern=r"([^/]+)\.parquet$", timezone=None) -> DataFrame:

@@ -1,0 +1,175 @@
+import numpy as np
+import pandas as pd
+import pytest
+from conftest import close_to, days, frame, result
+from test_sizing import PANEL, by_day, panel_pdf
+
+from panelspark.operators import backtest as bt
+from panelspark.operators import portfolio as pf
+from panelspark.operators import scenarios as sc
+
+POSITIONS = "date date, ticker string, weight double, daily_return double, leg string"
+CURVE = "date date, net_return double"
+
+
+def two_names(spark):
+    a, b = [.01, .02, -.01, .005, .01], [-.005, .01, .02, -.01, .005]
+    rows = []
+    for d, x, y in zip(days(5), a, b):
+        rows += [(d, "A", .6, x, "long"), (d, "B", -.6, y, "short")]
+    return frame(spark, rows, POSITIONS)
+
+
+def test_two_names(spark):
+    got = result(bt.portfolio_returns(two_names(spark), 10.0), "date")
+    close_to(got.gross_return[:2], [.009, .006])
+    close_to(got.turnover, [1.2, 0, 0, 0, 0])
+    close_to(got.cost, got.turnover * 10 / 10000)
+    close_to(got.net_return, got.gross_return - got.cost)
+    close_to(got.cum_net, (1 + got.net_return).cumprod())
+    close_to(got.cum_gross, (1 + got.gross_return).cumprod())
+
+
+def test_no_cost(spark):
+    got = result(bt.portfolio_returns(two_names(spark), 0.0), "date")
+    close_to(got.net_return, got.gross_return)
+
+
+def turnover_loop(positions):
+    before, out = {}, []
+    for d, g in positions.groupby("date"):
+        now = dict(zip(g.ticker, g.weight))
+        out.append(sum(abs(now.get(t, 0) - before.get(t, 0)) for t in set(now) | set(before)))
+        before = now
+    return out
+
+
+def test_turnover_matches_a_loop(spark):
+    pdf = panel_pdf()
+    positions = pf.construct_portfolio(frame(spark, pdf, PANEL), n_quantiles=4, freqs=(5, 3))
+    got = result(bt.portfolio_returns(positions, keys=["rebalance_freq"]), "rebalance_freq", "date")
+    for freq in (5, 3):
+        want = by_day(pdf, freq, 4)
+        mine = got[got.rebalance_freq == freq]
+        close_to(mine.turnover, turnover_loop(want))
+        close_to(mine.gross_return, want.assign(x=want.weight * want.daily_return).groupby("date").x.sum())
+
+
+def metrics(spark, returns, **extra):
+    pdf = pd.DataFrame({"date": days(len(returns)), "net_return": returns, **extra})
+    schema = CURVE + "".join(f", {c} double" for c in extra)
+    rows = bt.performance_metrics(frame(spark, pdf, schema)).collect()
+    return rows[0] if rows else None
+
+
+def test_constant_returns(spark):
+    row = metrics(spark, [.001] * 252, turnover=[0.0] * 252)
+    assert row.max_drawdown == 0 and row.calmar_ratio == 0 and row.sharpe_ratio == 0  # no spread, no ratio
+    assert row.n_trading_days == 252 and row.win_rate_pct == 100
+    close_to([row.total_return, row.annualized_return], [1.001 ** 252 - 1] * 2)
+
+
+def test_rising_returns_have_a_positive_sharpe(spark):
+    assert metrics(spark, (.001 + np.arange(252) * 1e-7).tolist()).sharpe_ratio > 0
+
+
+def test_without_losses_sortino_equals_sharpe(spark):
+    row = metrics(spark, (np.abs(np.random.RandomState(42).randn(252)) * .001).tolist())
+    assert row.sortino_ratio == row.sharpe_ratio > 0
+
+
+def test_drawdown(spark):
+    returns = [.01] * 50 + [-.05] * 10 + [.01] * 50
+    assert abs(metrics(spark, returns).max_drawdown - (.95 ** 10 - 1)) < 1e-12
+
+
+def test_too_short(spark):
+    assert metrics(spark, [.01]) is None
+    assert bt.performance_metrics(frame(spark, [(days(1)[0], .01)], CURVE)).count() == 0
+
+
+def test_metrics_against_pandas(spark):
+    rng = np.random.RandomState(8)
+    r = pd.Series(rng.randn(300) * .01)
+    turnover, cost = rng.rand(300), rng.rand(300) * .001
+    row = metrics(spark, r.tolist(), turnover=turnover, cost=cost)
+    cum = (1 + r).cumprod()
+    years, total = 300 / 252, cum.iloc[-1] - 1
+    fall = (cum / cum.cummax() - 1).min()
+    ann = (1 + total) ** (1 / years) - 1
+    close_to([row.total_return, row.annualized_return, row.annualized_volatility, row.sharpe_ratio, row.sortino_ratio,
+              row.max_drawdown, row.calmar_ratio, row.annualized_turnover, row.win_rate_pct, row.total_cost_bps],
+             [total, ann, r.std() * 252 ** .5, r.mean() / r.std() * 252 ** .5, r.mean() / r[r < 0].std() * 252 ** .5,
+              fall, ann / abs(fall), turnover.sum() / years, (r > 0).mean() * 100, cost.sum() * 1e4])
+
+
+def test_one_negative_return_gives_no_sortino(spark):
+    assert metrics(spark, [.01, .02, -.01]).sortino_ratio == 0
+
+
+def test_ruin_has_no_annual_return(spark):
+    row = metrics(spark, [.1, -2.5, .1])
+    assert row.annualized_return is None and row.total_return < -1
+
+
+def test_gross_and_net(spark):
+    daily = bt.portfolio_returns(two_names(spark))
+    got = {r.series: r for r in bt.gross_and_net_metrics(daily).collect()}
+    assert set(got) == {"gross", "net"} and got["gross"].total_return > got["net"].total_return
+
+
+def panel_of(spark):
+    rows = [(t, d, None if i == 0 else x * (i % 3 - 1)) for t, x in (("SPY", .01), ("QQQ", .02), ("A", .03)) for i, d in enumerate(days(80))]
+    return frame(spark, rows, "ticker string, date date, daily_return double")
+
+
+def test_benchmarks(spark):
+    got = result(bt.benchmark_returns(panel_of(spark), ["SPY", "QQQ"], "2024-01-10", "2024-02-01"), "ticker", "date")
+    assert set(got.ticker) == {"SPY", "QQQ"} and str(got.date.min()) == "2024-01-10" and str(got.date.max()) == "2024-02-01"
+    for _, g in got.groupby("ticker"):
+        close_to(g.cum_return, (1 + g.daily_return).cumprod())
+    assert bt.benchmark_metrics(bt.benchmark_returns(panel_of(spark), ["SPY", "QQQ"])).count() == 2
+
+
+def test_tearsheet_tables(spark):
+    daily = bt.portfolio_returns(two_names(spark))
+    bench = bt.benchmark_returns(bt.within_portfolio_dates(panel_of(spark), daily), ["SPY"])
+    got = result(bt.tearsheet_equity(daily, bench))
+    assert got.groupby("curve").size().to_dict() == {"SPY": 4, "gross": 5, "net": 5}
+    assert result(bt.tearsheet_drawdown(daily)).drawdown_pct.max() == 0
+    ic = frame(spark, [(d, float(i)) for i, d in enumerate(days(3))], "date date, ic double")
+    assert set(result(bt.tearsheet_ic(ic)).mean_ic) == {1.0}
+
+
+def test_rolling_sharpe(spark):
+    r = pd.Series(np.random.RandomState(3).randn(70) * .01)
+    df = frame(spark, pd.DataFrame({"date": days(70), "net_return": r}), CURVE)
+    close_to(result(bt.rolling_sharpe(df), "date").rolling_sharpe, r.rolling(63).mean() / r.rolling(63).std() * 252 ** .5)
+
+
+def test_scenarios(spark):
+    daily = bt.portfolio_returns(two_names(spark))
+    sweep = result(sc.cost_sweep(daily, [0, 10, 20]), "cost_bps")
+    assert sweep.total_return.is_monotonic_decreasing and sweep.total_cost_bps.round(6).tolist() == [0, 12, 24]
+    row = sc.breakeven_cost(daily).first()
+    gross = result(daily).gross_return.sum()
+    assert row.breakeven_bps == pytest.approx(1e4 * gross / 1.2)
+
+
+def test_regression_report(spark):
+    rows = [("A", 1.0, 1.5), ("A", 2.0, 1.0), ("B", 0.0, -1.0), ("B", None, 1.0)]
+    got = result(sc.regression_report(frame(spark, rows, "ticker string, predicted_score double, fwd_raw_return double")), "ticker").set_index("ticker")
+    assert got.n_samples.to_dict() == {"A": 2, "B": 1, "Overall": 3}
+    assert got.rmse["A"] == pytest.approx((1.25 / 2) ** .5) and got.mae["Overall"] == pytest.approx(2.5 / 3)
+    y = np.array([1.5, 1, -1])
+    assert got.r2["Overall"] == pytest.approx(1 - 2.25 / ((y - y.mean()) ** 2).sum()) and np.isnan(got.r2["B"])
+    assert got.baseline_rmse["Overall"] == pytest.approx(((y ** 2).mean()) ** .5)
+
+
+def test_screener(spark):
+    panel = frame(spark, [("A", d, "X", 1.0 + i) for i, d in enumerate(days(3))] + [("B", days(2)[1], "Y", 9.0)],
+                  "ticker string, date date, sector string, rolling_beta double")
+    positions = frame(spark, [("A", days(3)[2], .5)], "ticker string, date date, weight double")
+    got = result(sc.screener(panel, positions, ["rolling_beta"]), "ticker")
+    assert got.rolling_beta.tolist() == [3.0, 9.0] and got.weight.tolist() == [.5, 0]
+    assert sc.screener(panel, None, ["rolling_beta"], sector="Y").first().ticker == "B"
