@@ -46,9 +46,9 @@ def amihud(n: int = 20, ret="daily_return", dollar_volume="dollar_volume") -> Co
     return mean(div(F.abs(as_col(ret)), dollar_volume) * 1e6, n)
 
 
-def true_range(high="high", low="low", close="close") -> Column:
+def true_range(high="high", low="low", close="close", w=None) -> Column:
     """The largest of three ranges; ``greatest`` skips the nulls of a ticker's first row."""
-    h, l, before = as_col(high), as_col(low), F.lag(close).over(series())
+    h, l, before = as_col(high), as_col(low), F.lag(close).over(w if w is not None else series())
     return F.greatest(h - l, F.abs(h - before), F.abs(l - before))
 
 
@@ -115,8 +115,8 @@ def _rsi_value() -> Column:
     return F.coalesce(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + rs), F.lit(50.0))
 
 
-def moving_averages(windows=(10, 20, 50), close="close") -> dict:
-    return {f"sma_{n}": mean(close, n) for n in windows}
+def moving_averages(windows=(10, 20, 50), close="close", w=None) -> dict:
+    return {f"sma_{n}": mean(close, n, w) for n in windows}
 
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, close="close") -> DataFrame:
@@ -127,20 +127,20 @@ def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, close="close") -> Data
     }).withColumn("bb_width", div(F.col("bb_upper") - F.col("bb_lower"), "__mid")).drop("__mid", "__dev")
 
 
-def realized_vol(n: int = 20, ret="daily_return") -> Column:
-    return std(ret, n)
+def realized_vol(n: int = 20, ret="daily_return", w=None) -> Column:
+    return std(ret, n, w)
 
 
 def hl_spread() -> Column:
     return div(F.col("high") - F.col("low"), "close")
 
 
-def return_lags(lags=(1, 2, 3, 5), ret="daily_return") -> dict:
-    return {f"return_lag_{k}": F.lag(ret, k).over(series()) for k in lags}
+def return_lags(lags=(1, 2, 3, 5), ret="daily_return", w=None) -> dict:
+    return {f"return_lag_{k}": F.lag(ret, k).over(w if w is not None else series()) for k in lags}
 
 
-def momentum(lags=(5, 10, 20), close="close") -> dict:
-    return {f"momentum_{k}": change(close, k) for k in lags}
+def momentum(lags=(5, 10, 20), close="close", w=None) -> dict:
+    return {f"momentum_{k}": change(close, k, w) for k in lags}
 
 
 def with_sector(df: DataFrame, universe: DataFrame, small: bool = False) -> DataFrame:
@@ -161,26 +161,32 @@ def engineer_features(panel: DataFrame, universe: DataFrame = None, short: int =
     """All features of a panel that has daily_return.
 
     Every window is partitioned by ticker, so the function costs one exchange (none when the input is
-    partitioned that way) and two sorts: by date, and by block and date for the long memories.
+    partitioned that way) and two sorts: by date, to number the blocks, and by block and date. Both come
+    first, while rows are narrow; the long memories follow and the many short frames come last.
     """
     df = with_sector(panel, universe) if universe is not None else panel
     keep = df.columns
     hl, co = _log_ratio("high", "low"), _log_ratio("close", "open")
-    df = df.withColumns({
-        "dollar_volume": F.col("close") * F.col("volume"), "__tr": true_range(), "__hl2": hl * hl,
+    df = in_blocks(df)
+    w = block_windows()[0]
+    df = df.withColumn("__tr", true_range(w=w))
+    df = long_sums(df, long, {"__n": F.when(F.col("__tr").isNotNull(), 1.0), "__tr_sum": F.col("__tr")})
+    df = momentum_indicators(df).withColumns({
+        "dollar_volume": F.col("close") * F.col("volume"), "__hl2": hl * hl,
         "__gk": F.lit(0.5) * hl * hl - F.lit(2 * LN2 - 1) * co * co,
     })
     df = df.withColumn("__illiq", div(F.abs("daily_return"), "dollar_volume") * 1e6)
     df = df.withColumns({
-        **{f"__pk_{n}": mean("__hl2", n) for n in (10, 20)},
-        **{f"__gk_{n}": mean("__gk", n) for n in (10, 20)},
-        "amihud_illiq_20": mean("__illiq", 20), "atr_20": atr(short, "__tr"),
-        "__v_mean": mean("volume", 20), "__v_std": std("volume", 20),
-        **moving_averages(), "__bb_std": std("close", 20),
-        "realized_vol_10": realized_vol(10), "realized_vol_20": realized_vol(20),
-        "volume_sma_10": mean("volume", 10), "volume_change": change("volume"),
-        **return_lags(), **momentum(),
+        **{f"__pk_{n}": mean("__hl2", n, w) for n in (10, 20)},
+        **{f"__gk_{n}": mean("__gk", n, w) for n in (10, 20)},
+        "amihud_illiq_20": mean("__illiq", 20, w), "atr_20": mean("__tr", short, w),
+        "__v_mean": mean("volume", 20, w), "__v_std": std("volume", 20, w),
+        **moving_averages(w=w), "__bb_std": std("close", 20, w),
+        "realized_vol_10": realized_vol(10, w=w), "realized_vol_20": realized_vol(20, w=w),
+        "volume_sma_10": mean("volume", 10, w), "volume_change": change("volume", 1, w),
+        **return_lags(w=w), **momentum(w=w),
     })
+    slow = F.when(F.col("__n") == long, F.col("__tr_sum") / F.lit(float(long)))
     df = df.withColumns({
         **{f"parkinson_vol_{n}": F.sqrt(F.col(f"__pk_{n}") / F.lit(4 * LN2)) for n in (10, 20)},
         **{f"garman_klass_vol_{n}": _root(F.col(f"__gk_{n}")) for n in (10, 20)},
@@ -189,9 +195,6 @@ def engineer_features(panel: DataFrame, universe: DataFrame = None, short: int =
         "hl_spread": hl_spread(),
         "bb_upper": F.col("sma_20") + 2 * F.col("__bb_std"),
         "bb_lower": F.col("sma_20") - 2 * F.col("__bb_std"),
+        "vol_regime": div("atr_20", slow),
     })
-    df = df.withColumn("bb_width", div(F.col("bb_upper") - F.col("bb_lower"), "sma_20"))
-    df = long_sums(in_blocks(df), long, {"__n": F.when(F.col("__tr").isNotNull(), 1.0), "__tr_sum": F.col("__tr")})
-    slow = F.when(F.col("__n") == long, F.col("__tr_sum") / F.lit(float(long)))
-    df = df.withColumn("vol_regime", div("atr_20", slow))
-    return momentum_indicators(df).select(*keep, *FEATURES)
+    return df.withColumn("bb_width", div(F.col("bb_upper") - F.col("bb_lower"), "sma_20")).select(*keep, *FEATURES)
