@@ -35,16 +35,13 @@ def query(function):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six decimals, integers to 64 bits: the form in which results are compared.
-
-    The nudge keeps exact halves of the last digit on one side of the rounding in every engine.
-    """
+    """Doubles to six decimals, integers to 64 bits: the form in which results are compared."""
     out = []
     for f in df.schema.fields:
         kind = f.dataType.typeName()
         c = F.col(f"`{f.name}`")
         if kind in ("double", "float"):
-            c = F.round(c + F.lit(3e-10), DIGITS) + F.lit(0.0)
+            c = F.round(c, DIGITS) + F.lit(0.0)
         elif kind in ("integer", "short", "byte"):
             c = c.cast("long")
         out.append(c.alias(f.name))
@@ -209,9 +206,10 @@ def realized_vol(spark, d):
 
 @query
 def lags_and_momentum(spark, d):
-    df = weekly_returns(spark, d).withColumns({**ft.return_lags(), **ft.momentum(), "hl_spread": ft.hl_spread()})
+    df = weekly_returns(spark, d).withColumns({
+        **ft.return_lags(), **ft.momentum(), "hl_spread_pct": ft.hl_spread() * 100})
     return columns(df, "return_lag_1", "return_lag_2", "return_lag_3", "return_lag_5",
-                   "momentum_5", "momentum_10", "momentum_20", "hl_spread")
+                   "momentum_5", "momentum_10", "momentum_20", "hl_spread_pct")
 
 
 @query

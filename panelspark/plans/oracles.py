@@ -183,7 +183,7 @@ def sql(final, *names, **overrides):
 
 
 def r6(*columns):
-    return ", ".join(f"round({c} + 3e-10, 6) as {c}" for c in columns)
+    return ", ".join(f"round({c}, 6) as {c}" for c in columns)
 
 
 def big(*columns):
@@ -266,8 +266,9 @@ DEPENDS["weekly_features"] = ["weekly_returns"]
 DEPENDS["daily_features"] = ["returns"]
 
 
-def weekly_feature(*columns):
-    return sql(f"select ticker, date, {r6(*columns)} from weekly_features", "weekly_features")
+def weekly_feature(*columns, **computed):
+    more = "".join(f", round({x}, 6) as {c}" for c, x in computed.items())
+    return sql(f"select ticker, date, {r6(*columns)}{more} from weekly_features", "weekly_features")
 
 
 def oscillator(*columns):
@@ -419,8 +420,8 @@ ORACLES = {
     "moving_averages": weekly_feature("sma_10", "sma_20", "sma_50", "close_to_sma20"),
     "bollinger": weekly_feature("bb_upper", "bb_lower", "bb_width"),
     "realized_vol": weekly_feature("realized_vol_10", "realized_vol_20"),
-    "lags_and_momentum": weekly_feature("return_lag_1", "return_lag_2", "return_lag_3", "return_lag_5",
-                                        "momentum_5", "momentum_10", "momentum_20", "hl_spread"),
+    "lags_and_momentum": weekly_feature("return_lag_1", "return_lag_2", "return_lag_3", "return_lag_5", "momentum_5",
+                                        "momentum_10", "momentum_20", hl_spread_pct="hl_spread * 100"),
     "rsi": oscillator("rsi_14"),
     "macd": oscillator("macd", "macd_signal", "macd_hist"),
     "feature_panel": sql(panel_columns(), "daily_features", "oscillators", "universe", steps=CTES["steps"].format(bars="daily")),
