@@ -434,9 +434,11 @@ ORACLES = {
     "d_summary": sql("""select round(avg(d), 6) as mean_d, round(median(d), 6) as median_d, min(d) as min_d, max(d) as max_d,
         count(*) as n_tickers from best where ticker <> 'MKT'""", "best", **weights()),
     "rank_ic": sql(f"select date, {r6('ic')}, n_stocks from ic", "ic"),
-    "ic_summary": sql("""select round(avg(ic), 6) as mean_ic, round(stddev_samp(ic), 6) as ic_std, round(avg(ic) / stddev_samp(ic), 6) as ir,
-        round(avg(ic) / stddev_samp(ic) * sqrt(count(*)), 6) as ic_tstat, count(*) as n_periods,
-        round(100.0 * count(*) filter (ic > 0) / count(*), 6) as pct_positive from (select round(ic, 12) as ic from ic)""", "ic"),
+    "ic_summary": sql("""select round(coalesce(avg(ic), 0), 6) as mean_ic, round(coalesce(stddev_samp(ic), 0), 6) as ic_std,
+        round(coalesce(avg(ic) / stddev_samp(ic), 0), 6) as ir,
+        round(coalesce(avg(ic) / stddev_samp(ic) * sqrt(count(*)), 0), 6) as ic_tstat, count(*) as n_periods,
+        round(coalesce(100.0 * count(*) filter (ic > 0) / nullif(count(*), 0), 0), 6) as pct_positive
+        from (select round(ic, 12) as ic from ic)""", "ic"),
     "cumulative_ic": sql("select date, round(ic, 6) as ic, round(sum(ic) over (order by date), 6) as cum_ic from ic", "ic"),
     "quantile_legs": sql("select date, ticker, cast(leg as bigint) as leg from legs", "legs"),
     "inverse_vol_weights": sql("select date, ticker, cast(leg as bigint) as leg, round(weight, 6) as weight from weighted", "weighted"),
