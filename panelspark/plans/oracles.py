@@ -447,8 +447,9 @@ ORACLES = {
     "portfolio_positions": sql(POSITIONS, "positions", **ONE_FREQ),
     "next_day_positions": sql("""select date, ticker, round(weight, 6) as weight, round(daily_return, 6) as daily_return
         from lagged_positions""", "lagged_positions", **ONE_FREQ),
-    "portfolio_summary": sql("""select cast(s.rebalance_freq as bigint) as rebalance_freq, n_rebalances, n_long, n_short from
-        (select rebalance_freq, count(*) filter (is_due) as n_rebalances from schedule group by all) s join
+    "portfolio_summary": sql("""select cast(s.rebalance_freq as bigint) as rebalance_freq, n_rebalances,
+        coalesce(n_long, 0) as n_long, coalesce(n_short, 0) as n_short from
+        (select rebalance_freq, count(*) filter (is_due) as n_rebalances from schedule group by all) s left join
         (select rebalance_freq, count(*) filter (leg = 'long') as n_long, count(*) filter (leg = 'short') as n_short
          from positions group by all) p using (rebalance_freq)""", "schedule", "positions", **ONE_FREQ),
     "weight_check": sql(f"""select date, {r6('long_weight_sum', 'short_weight_sum')}, n_long, n_short,
