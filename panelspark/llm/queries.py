@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules, tokens
+from . import decontamination, quality_rules, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark, sf_dir):
+    """Words of every document that stand in a ten-word window of a benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.hits(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", decontamination.n_hit().alias("n_hit"),
+                        F.size("hit_items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+                        (F.size("hit_items") > 0).alias("contaminated"))
+
+
 def op4_token_counts(spark, sf_dir):
     """Tokens of every document by the 50k byte-level vocabulary."""
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.vocabulary_path("byte_bpe_50k.json"))
@@ -22,4 +32,4 @@ def op8_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_token_counts, op8_quality_rules)}
