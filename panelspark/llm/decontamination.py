@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..storage import materialize
 from .fm_index import Index
+from .store import stored
 from .words import alphanumeric, blocks, contains, hashes, split
 
 WINDOW = 10
@@ -130,7 +130,7 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     for ids, texts in _item_blocks(items, item_id, item_text, block_words):
         if n_blocks and not ids:
             break
-        state = materialize(state) if n_blocks else state
+        state = stored(state) if n_blocks else state
         state = _pass(state, spark.sparkContext.broadcast(Phrases(ids, texts, window)), text, n_blocks > 0)
         n_blocks += 1
     return state

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..storage import materialize
+from .store import stored
 from .words import blocks, groups, hashes, mixed, not_white, split, windows
 
 #: rate -> (two-sided, least distance of the quartiles that counts)
@@ -142,7 +142,7 @@ def judged(docs: DataFrame, text: str = "text", reach: int = REACH, least_docs:
     left to judge. Equal rows are judged alike. Columns of the input with the names of results are replaced.
     """
     results = [*_COUNTS, *RATES, "base_failed", "kept"]
-    rated = materialize(with_rates(with_counts(docs.drop(*(c for c in results if c in docs.columns)), text))
+    rated = stored(with_rates(with_counts(docs.drop(*(c for c in results if c in docs.columns)), text))
                         .withColumn("base_failed", base_failed()))
     fence = fences(quantiles(sketches(rated.where(~F.col("base_failed")))), reach, least_docs)
     joined = rated.join(fence, F.col("lang").eqNullSafe(F.col("lang0")) & F.col("source").eqNullSafe(F.col("source0")), "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, quality_rules, tokens
+from . import decontamination, quality_rules, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,17 @@ def op4_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.vocabulary_path("byte_bpe_50k.json"))
 
 
+def op5_substring_dedup(spark, sf_dir):
+    """Every document without the words of 13-word windows that start in an earlier document too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    clean = substrings.deduplicated(docs, keep_layout=False)
+    return clean.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark, sf_dir):
     """Counts and verdict of every document under adaptive thresholds per language and source."""
     return quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_token_counts, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_token_counts, op5_substring_dedup, op8_quality_rules)}

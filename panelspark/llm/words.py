@@ -79,13 +79,14 @@ def blocks(batches, text: str = "text", limit: int = BLOCK_BYTES):
 
 @dataclass
 class Words:
-    """Words of the rows of a block: byte bounds, the row of each, and the first word of each row (plus the end)."""
+    """Words of the rows of a block: byte bounds, the row of each, the first word and first byte of each row (plus the end)."""
 
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     row: np.ndarray
     first: np.ndarray
+    offsets: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
@@ -115,7 +116,7 @@ def split(column: pa.Array, flags: np.ndarray, lower: bool = False) -> Words:
     finish[0] = False
     starts, ends = np.flatnonzero(begin), np.flatnonzero(finish)
     first = np.searchsorted(starts, offsets).astype(np.int64)
-    return Words(data, starts, ends, np.repeat(np.arange(n_rows), np.diff(first)), first)
+    return Words(data, starts, ends, np.repeat(np.arange(n_rows), np.diff(first)), first, offsets)
 
 
 _powers: dict[int, np.ndarray] = {}
