@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, quality_rules, substrings, tokens
+from . import decontamination, quality_rules, simhash, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +33,16 @@ def op5_substring_dedup(spark, sf_dir):
     return clean.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document."""
+    groups = simhash.grouped(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_quality_rules(spark, sf_dir):
     """Counts and verdict of every document under adaptive thresholds per language and source."""
     return quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_token_counts, op5_substring_dedup, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_token_counts, op5_substring_dedup, op6_simhash, op8_quality_rules)}
