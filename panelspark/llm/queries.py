@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, quality_rules, simhash, substrings, tokens
+from . import decontamination, lm_scoring, quality_rules, simhash, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,4 +45,10 @@ def op8_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_token_counts, op5_substring_dedup, op6_simhash, op8_quality_rules)}
+def op9_lm_score(spark, sf_dir):
+    """Unigram and context-mixing log probability of every document."""
+    scored = lm_scoring.scored(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_token_counts, op5_substring_dedup, op6_simhash, op8_quality_rules, op9_lm_score)}
