@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, lm_scoring, quality_rules, simhash, substrings, tokens
+from . import decontamination, lm_scoring, quality_model, quality_rules, simhash, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op1_decontamination(spark, sf_dir):
                         (F.size("hit_items") > 0).alias("contaminated"))
 
 
+def op2_quality(spark, sf_dir):
+    """Quality score of every document, learned from labels of other documents."""
+    return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark, sf_dir):
     """Tokens of every document by the 50k byte-level vocabulary."""
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.vocabulary_path("byte_bpe_50k.json"))
@@ -51,4 +56,4 @@ def op9_lm_score(spark, sf_dir):
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_token_counts, op5_substring_dedup, op6_simhash, op8_quality_rules, op9_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op4_token_counts, op5_substring_dedup, op6_simhash, op8_quality_rules, op9_lm_score)}
