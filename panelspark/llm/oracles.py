@@ -1,3 +1,27 @@
 """DuckDB SQL of the text queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+MIX = r"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+s as (select source, sum(size)::bigint as source_size, 1 + (row_number() over (order by source nulls last) - 1) % 3 as weight,
+             row_number() over (order by source nulls last) as place from d group by source),
+r as (select *, sum(source_size) over ()::bigint as total,
+             coalesce(sum(3 * source_size) over (o rows between unbounded preceding and 1 preceding), 0)::bigint as filled,
+             sum(weight) over (o rows between current row and unbounded following)::bigint as open
+      from s window o as (order by source_size::double / weight, place)),
+f as (select *, 3 * source_size * open < (total - filled) * weight as is_full from r),
+c as (select *, coalesce(sum(case when is_full then 3 * source_size end) over (), 0)::bigint as gone,
+             coalesce(sum(case when not is_full then weight end) over (), 0)::bigint as share from f),
+t as (select *, case when is_full then (3 * source_size)::double else ((total - gone) * weight)::double / share end as target,
+             case when is_full then 3 * source_size else (total - gone) * weight // share end as whole,
+             case when is_full then 0 else (total - gone) * weight % share end as over_ from c),
+u as (select *, total - sum(whole) over () as extra, row_number() over (order by over_ desc, place) as turn from t),
+n as (select source, source_size, target, whole + case when over_ > 0 and turn <= extra then 1 else 0 end as demand from u),
+k as (select d.*, n.source_size, n.target, n.demand,
+             sum(d.size) over (partition by d.source order by md5('42:' || d.doc_id), d.doc_id rows between unbounded preceding and current row) - d.size as before
+      from d join n on d.source is not distinct from n.source)
+select doc_id, size, source_size, target,
+       (case when source_size = 0 then 0 else demand // source_size * size + greatest(0, least(size, demand % source_size - before)) end)::bigint as taken
+from k
+"""
+
+ORACLES = {"op10_mix": MIX}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, lm_scoring, quality_model, quality_rules, simhash, substrings, tokens
+from . import decontamination, lm_scoring, mixing, quality_model, quality_rules, simhash, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,4 +56,11 @@ def op9_lm_score(spark, sf_dir):
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op4_token_counts, op5_substring_dedup, op6_simhash, op8_quality_rules, op9_lm_score)}
+def op10_mix(spark, sf_dir):
+    """Words that a mix of all sources takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mixed(docs, keep_text=False)
+    return mixed.select("doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op4_token_counts, op5_substring_dedup, op6_simhash, op8_quality_rules, op9_lm_score, op10_mix)}
