@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, lm_scoring, mixing, quality_model, quality_rules, simhash, substrings, tokens
+from . import decontamination, lm_scoring, mixing, quality_model, quality_rules, simhash, substrings, tokens, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op6_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_url_rules(spark, sf_dir):
+    """Verdict on the URL of every page."""
+    return url_rules.judged(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_quality_rules(spark, sf_dir):
     """Counts and verdict of every document under adaptive thresholds per language and source."""
     return quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).select(
@@ -63,4 +68,4 @@ def op10_mix(spark, sf_dir):
     return mixed.select("doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op4_token_counts, op5_substring_dedup, op6_simhash, op8_quality_rules, op9_lm_score, op10_mix)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op4_token_counts, op5_substring_dedup, op6_simhash, op7_url_rules, op8_quality_rules, op9_lm_score, op10_mix)}
