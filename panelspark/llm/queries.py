@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, lm_scoring, mixing, quality_model, quality_rules, simhash, substrings, tokens, url_rules
+from . import decontamination, html_text, lm_scoring, mixing, quality_model, quality_rules, simhash, substrings, tokens, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op2_quality(spark, sf_dir):
     return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_main_text(spark, sf_dir):
+    """Main text of every page."""
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark, sf_dir):
     """Tokens of every document by the 50k byte-level vocabulary."""
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.vocabulary_path("byte_bpe_50k.json"))
@@ -68,4 +73,4 @@ def op10_mix(spark, sf_dir):
     return mixed.select("doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op4_token_counts, op5_substring_dedup, op6_simhash, op7_url_rules, op8_quality_rules, op9_lm_score, op10_mix)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_main_text, op4_token_counts, op5_substring_dedup, op6_simhash, op7_url_rules, op8_quality_rules, op9_lm_score, op10_mix)}
