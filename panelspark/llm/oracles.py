@@ -1,5 +1,7 @@
 """DuckDB SQL of the text queries that SQL can express."""
 
+from .quality_rules import LEAST_DOCS, RATES, REACH
+
 MIX = r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size, 1 + (row_number() over (order by source nulls last) - 1) % 3 as weight,
@@ -24,4 +26,72 @@ select doc_id, size, source_size, target,
 from k
 """
 
-ORACLES = {"op10_mix": MIX}
+DECONTAMINATION = r"""
+with low(kind, id, text) as (
+  select 0, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from documents
+  union all select 1, item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
+w as (select kind, id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from low),
+p as (select id as item_id, least(10, len(ws)) as n, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as i from w where kind = 1 and len(ws) > 0),
+phrase as (select distinct item_id, n, array_to_string(ws[i:i + n - 1], ' ') as g from p),
+place as (select id as doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from w, (select distinct n from phrase) where kind = 0 and len(ws) >= n),
+hit as (select doc_id, i, n, item_id from (select doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') as g from place) join phrase using (n, g)),
+word as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + n)) as k from hit) group by doc_id),
+item as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hit group by doc_id)
+select id as doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join word on word.doc_id = id left join item on item.doc_id = id where kind = 0
+"""
+
+SUBSTRINGS = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w)),
+late as (select doc_id, i from (select *, min(doc_id) over (partition by g) as least_id from win) where least_id < doc_id),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as i from late),
+tok as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
+kept as (select doc_id, string_agg(word, ' ' order by i) as text from tok anti join gone using (doc_id, i) group by doc_id),
+n as (select doc_id, count(*) as n_removed from gone group by doc_id)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from w left join n using (doc_id) left join kept using (doc_id)
+"""
+
+
+def _quality_rules() -> str:
+    rates = "\nunion all ".join(f"select lang, source, '{r}' as rate, {r} as v from s where not base_failed" for r in RATES)
+    low = ", ".join(f"max(case when rate = '{r}' then {f'q1 - {REACH} * greatest(q3 - q1, {least})' if two_sided else 0} end) as {r}_low, "
+                    f"max(case when rate = '{r}' then q3 + {REACH} * greatest(q3 - q1, {least}) end) as {r}_high"
+                    for r, (two_sided, least) in RATES.items())
+    inside = " and ".join(f"{r} between (case when o.total >= {LEAST_DOCS} then o.{r}_low when g.total >= {LEAST_DOCS} then g.{r}_low else a.{r}_low end) "
+                          f"and (case when o.total >= {LEAST_DOCS} then o.{r}_high when g.total >= {LEAST_DOCS} then g.{r}_high else a.{r}_high end)"
+                          for r in RATES)
+    return rf"""
+with d as (select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+tok as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from d),
+tri as (select doc_id, i, w || ' ' || lead(w) over o || ' ' || lead(w, 2) over o as g from tok window o as (partition by doc_id order by i)),
+rep as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as c from tri where g is not null) where c > 1),
+cov as (select doc_id, count(distinct i + k) as n_repeat_words from rep, range(3) as r(k) group by doc_id),
+lin as (select doc_id, unnest(string_split(text, chr(10))) as l from d),
+dup as (select doc_id, count(*) as n_lines, count(*) - count(distinct l) as n_dup_lines from lin
+        where regexp_matches(l, '[^\x20\x09-\x0D]') group by doc_id),
+c as (select doc_id, lang, source, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+             coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_lines, 0)::bigint as n_lines
+      from d left join dup using (doc_id) left join cov using (doc_id)),
+s as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+             coalesce(100 * word_chars // nullif(n_words, 0), 0) as word_length, coalesce(1000 * n_symbols // nullif(n_words, 0), 0) as symbol_rate,
+             coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0) as duplicate_line_rate,
+             coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) as repeat_rate from c),
+v as ({rates}),
+b as (select lang, source, rate, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as bin from v),
+k as (select lang, source, rate, bin, count(*) as n, grouping(lang) * 2 + grouping(source) as level
+      from b group by grouping sets ((lang, source, rate, bin), (lang, rate, bin), (rate, bin))),
+u as (select *, sum(n) over (partition by level, lang, source, rate order by bin) as upto, sum(n) over (partition by level, lang, source, rate) as total from k),
+q as (select level, lang, source, rate, min(case when upto * 4 >= total then bin end) as q1, min(case when upto * 4 >= total * 3 then bin end) as q3,
+             max(total) as total from u group by level, lang, source, rate),
+f as (select level, lang, source, max(total) as total, {low} from q group by level, lang, source)
+select s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce({inside}, true) as kept
+from s left join f o on o.level = 0 and s.lang is not distinct from o.lang and s.source is not distinct from o.source
+left join f g on g.level = 1 and s.lang is not distinct from g.lang left join f a on a.level = 3
+"""
+
+
+ORACLES = {"op1_decontamination": DECONTAMINATION, "op5_substring_dedup": SUBSTRINGS, "op8_quality_rules": _quality_rules(), "op10_mix": MIX}
