@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .columns import set_aside
 from .fm_index import Index
 from .store import stored
 from .words import alphanumeric, blocks, contains, hashes, split
@@ -124,16 +125,17 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     results; with no items nothing is hit. Columns of ``docs`` with the names of results are replaced.
     """
     spark = docs.sparkSession
-    state = docs.drop("n_words", "hit_spans", "hit_items").withColumns({
+    aside = set_aside(docs, {"text": text})
+    state = aside.rows.withColumns({
         "n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<long>"), "hit_items": F.array().cast("array<string>")})
     n_blocks = 0
     for ids, texts in _item_blocks(items, item_id, item_text, block_words):
         if n_blocks and not ids:
             break
         state = stored(state) if n_blocks else state
-        state = _pass(state, spark.sparkContext.broadcast(Phrases(ids, texts, window)), text, n_blocks > 0)
+        state = _pass(state, spark.sparkContext.broadcast(Phrases(ids, texts, window)), "text", n_blocks > 0)
         n_blocks += 1
-    return state
+    return aside.back(state, ("n_words", "hit_spans", "hit_items"))
 
 
 def _pass(state: DataFrame, phrases, text: str, again: bool) -> DataFrame:
@@ -186,4 +188,5 @@ def cut(found: DataFrame, text: str = "text") -> DataFrame:
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with every hit span cut out of its text; other texts stay as they are."""
-    return cut(hits(docs, items, text, **options), text).select(docs.columns)
+    aside = set_aside(docs, {"text": text})
+    return aside.back(cut(hits(aside.rows, items, **options)))

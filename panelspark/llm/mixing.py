@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .columns import set_aside
 from .store import stored
 from .words import blocks, not_white, split
 
@@ -225,7 +226,9 @@ def mixed(docs: DataFrame, members=None, text: str = "text", doc_id: str = "doc_
     empty set takes no part and is left out. A null text has size 0 and gives nothing. Equal rows may take different
     shares, as the rest may end between them; which of them gives more does not matter. Reruns agree.
     """
-    members = F.array("source") if members is None else members
-    sized = stored(with_sizes(docs, text))
-    planned = plan(sized, members, doc_id, seed)
-    return taken(with_sizes(docs, text, True) if keep_text else sized, planned, members, doc_id, seed)
+    aside = set_aside(docs, {"doc_id": doc_id, "text": text}, members=F.array("source") if members is None else members)
+    members, extra = F.col("members"), ("size", "source_sizes", "targets", "taken")
+    sized = stored(with_sizes(aside.rows if not keep_text else aside.rows.select("doc_id", "members", "text")))
+    planned = plan(sized, members, seed=seed)
+    result = taken(with_sizes(aside.rows, keep_text=True) if keep_text else sized, planned, members, seed=seed)
+    return aside.back(result, extra, without=() if keep_text else (text,))

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .columns import quoted, set_aside
 from .store import stored
 from .words import blocks, groups, hashes, mixed, not_white, split, windows
 
@@ -141,20 +142,20 @@ def judged(docs: DataFrame, text: str = "text", reach: int = REACH, least_docs:
     words, so it fails. Fences come from rows that don't fail the base rules; when there is none, nothing else is
     left to judge. Equal rows are judged alike. Columns of the input with the names of results are replaced.
     """
-    results = [*_COUNTS, *RATES, "base_failed", "kept"]
-    rated = stored(with_rates(with_counts(docs.drop(*(c for c in results if c in docs.columns)), text))
-                        .withColumn("base_failed", base_failed()))
+    aside = set_aside(docs, {"lang": "lang", "source": "source", "text": text})
+    rated = stored(with_rates(with_counts(aside.rows)).withColumn("base_failed", base_failed()))
     fence = fences(quantiles(sketches(rated.where(~F.col("base_failed")))), reach, least_docs)
     joined = rated.join(fence, F.col("lang").eqNullSafe(F.col("lang0")) & F.col("source").eqNullSafe(F.col("source0")), "left")
     inside = reduce(lambda a, b: a & b, [F.col(r).between(F.col(f"fence.{r}_low"), F.col(f"fence.{r}_high")) for r in RATES])
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return joined.withColumn("kept", kept).select(*rated.columns, "kept")
+    return aside.back(joined.withColumn("kept", kept), (*_COUNTS, *RATES, "base_failed", "kept"), without=(text,))
 
 
 def passing(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns. A row is found again by a hash of its text, lang and source."""
-    key = lambda: F.struct(F.xxhash64(text, "lang", "source").alias("a"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("b"))
-    marked = docs.select("lang", "source", text, key().alias("_key"))
-    bad = judged(marked, text, **options).where(~F.col("kept")).select(F.col("_key").alias("_bad")).distinct()
-    rows = docs.withColumn("_key", key())
-    return rows.join(bad, F.col("_key") == F.col("_bad"), "left_anti").drop("_key")
+    key = F.struct(
+        F.xxhash64(quoted(text), "lang", "source", F.isnull("lang"), F.isnull("source")).alias("a"), F.md5(F.coalesce(quoted(text), F.lit(""))).alias("b"))
+    aside = set_aside(docs, {"lang": "lang", "source": "source", "text": text}, key=key)
+    failed = judged(aside.rows.select("lang", "source", "text", "key"), **options).where(~F.col("kept"))
+    bad = failed.select(F.col("key").alias("bad")).distinct()
+    return aside.back(aside.rows.join(bad, F.col("key") == F.col("bad"), "left_anti"))

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .columns import quoted, set_aside
 from .components import components
 from .golay import near_codewords
 from .store import discard, stored
@@ -201,7 +202,7 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
     shingle are one shingle. Equal rows share their component. A row without id gives no id to its component; a
     component of such rows only has none. An empty table gives no row.
     """
-    rows = stored(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), text), text, shingle))
+    rows = stored(with_fingerprints(docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text")), "text", shingle))
     least = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = stored(links(least, distance))
     roots = components(edges)
@@ -214,7 +215,7 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """One row of each component, that with the smallest id, all columns; rows without id all stay."""
-    chosen = grouped(docs, text, doc_id, **options).where("component_id is not null").select(
-        F.col("component_id").alias("_kept")).distinct()
-    with_id = docs.where(F.col(doc_id).isNotNull()).join(chosen, F.col(doc_id) == F.col("_kept"), "left_semi")
-    return with_id.dropDuplicates([doc_id]).union(docs.where(F.col(doc_id).isNull()))
+    aside = set_aside(docs, {"doc_id": doc_id, "text": text})
+    chosen = grouped(aside.rows, **options).where("component_id is not null").select(F.col("component_id").alias("chosen")).distinct()
+    with_id = aside.rows.where("doc_id is not null").join(chosen, F.col("doc_id") == F.col("chosen"), "left_semi")
+    return aside.back(with_id.dropDuplicates(["doc_id"]).union(aside.rows.where("doc_id is null")))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .chunks import (answered, arrays, asked, binaries, bucket_count, bucketed, chunk_table, column, concatenated,
                      cut_at_buckets, met)
+from .columns import set_aside
 from .store import discard
 from .words import Words, contains, groups, hashes, mixed, not_white, split, windows
 
@@ -159,7 +160,8 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     stays null with ``keep_layout``). Rows with the same id don't remove each other's words; a row without id counts
     as later than all others. Result columns replace columns of the same name; an empty table gives no row.
     """
-    docs = docs.drop("n_words", "n_removed")
+    aside = set_aside(docs, {"doc_id": doc_id, "text": text})
+    docs, doc_id, text = aside.rows, "doc_id", "text"
     schema = docs.withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
     names = docs.columns
     chunks = chunk_table(docs, text)
@@ -188,7 +190,7 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
         return pa.table([*(new.get(c, column(table, c)) for c in names), pa.array(own.words.counts, pa.int64()),
                          pa.array(removed, pa.int64())], [*names, "n_words", "n_removed"])
 
-    return met(chunks, earlier, clean, schema)
+    return aside.back(met(chunks, earlier, clean, schema), ("n_words", "n_removed"))
 
 
 def _texts(words: Words, gone: np.ndarray, removed: np.ndarray, before: pa.Array, keep_layout: bool) -> pa.Array:
