@@ -56,7 +56,7 @@ def units(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
 
 def index_vectors(slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Two places and signs for each slot's index vector, from a hash of its number."""
-    h = mixed(np.arange(2 * slots, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)).reshape(slots, 2)
+    h = mixed(np.arange(2 * slots, dtype=np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))).reshape(slots, 2)
     return (h % np.uint64(DIM)).astype(np.int64), np.where(h >> np.uint64(63), -1, 1)
 
 
@@ -214,7 +214,7 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     sample = (pooled_docs.where("not held_out").join(known, F.col("doc_id") == F.col("_id"))
               .select("vector", F.col("_label").cast("int").alias("y"), F.xxhash64("doc_id", "vector").alias("k"))
               .orderBy("k", "y", "vector").limit(sample_rows).collect())
-    x = np.array([np.frombuffer(r.vector, np.float16) for r in sample], np.float64).reshape(len(sample), -1)
+    x = np.array([np.frombuffer(r.vector, np.float16) for r in sample], np.float64).reshape(len(sample), 2 * DIM + 3)
     network = Network(x, np.array([r.y for r in sample], np.float64))
 
     def judge(batches):
