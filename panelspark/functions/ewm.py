@@ -1,15 +1,14 @@
-"""Exponentially weighted means from a handful of windows.
-
-The recursion ``y[t] = (1 - a) * y[t-1] + a * x[t]`` with ``y = x`` at the first value is linear. A
-series is cut into blocks of ``B`` rows. Inside a block the mean is a running sum of
-``a * x * (1 - a) ** -offset``, scaled back by ``(1 - a) ** offset``; the block before adds its own end
-value times ``(1 - a) ** (offset + 1)``; everything older weighs less than ``(1 - a) ** B`` and cannot
-change a double. The scale stays below 1e250. Recent terms always carry the
-largest scale, so nothing cancels. All windows are partitioned by ticker: one exchange, no Python, and
-constant work per row for any span.
-
-Leading nulls are skipped. A null inside a series has no defined weight here; fill or drop such rows
-first (``operators.quality`` does).
+"""Exponentially weighted means of any span, with nulls anywhere, from a handful of windows.
+
+With ``g`` rows since the last value the recursion is ``y = ((1 - a)**g * y + a * x) / ((1 - a)**g + a)``, and ``y = x``
+at the first value; a null carries the mean on. So every value has a decay and a contribution, and the mean is a sum of
+contributions, each times the product of the later decays, whose logarithms add up. A series is cut into blocks of so
+few rows that a block's decays stay above exp(-500): inside a block contributions are scaled up, summed and scaled back,
+and what earlier blocks leave is folded from their ends, a handful per series. Weights that are too steep for the
+blocks that other operators share take shorter ones of their own.
+
+All windows are partitioned by ticker and have one order per block length: one exchange, no Python, and constant work
+per row for any span.
 """
 
 import math
@@ -17,10 +16,11 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.rolling import BLOCK, KEY, TIME, block_windows, in_blocks
+from panelspark.functions.rolling import BLOCK, BLOCK_COLUMNS, KEY, TIME, block_windows, in_blocks
 
-SCALE_DIGITS = 250
-NEGLIGIBLE = 1e-24
+BLOCK_DECAY = 500.0
+#: Log decay of one gap, at most: a value before it would weigh less than any double can tell.
+GAP_DECAY = 150.0
 
 
 def span_alpha(span: float) -> float:
@@ -28,43 +28,72 @@ def span_alpha(span: float) -> float:
 
 
 def block_rows(alpha: float) -> int:
-    """The longest block whose weights span at most 250 decimal digits."""
-    return max(1, int(SCALE_DIGITS * math.log(10) / -math.log1p(-alpha)))
+    """Rows whose decays stay above exp(-500), a power of two, the shared block length at most."""
+    if alpha >= 1:
+        return 1
+    rows = BLOCK_DECAY / -math.log1p(-alpha)
+    return int(min(BLOCK, 2 ** math.floor(math.log2(max(rows, 1)))))
 
 
 def ewm(df: DataFrame, specs: dict, min_periods: dict = None, key=KEY, time=TIME) -> DataFrame:
-    """Add one exponentially weighted mean per entry of ``specs``: name -> (input column, alpha).
+    """Add one exponentially weighted mean per entry of ``specs``: name -> (input column, alpha), 0 < alpha <= 1.
 
-    ``min_periods`` gives, per name, how many values must have been seen before the mean is shown.
-    All means of one call share their windows, and the blocks of ``df`` if it has them; 0 < alpha < 1.
+    ``min_periods`` gives, per name, how many values must have been seen before the mean is shown. Means of one call
+    share their windows, and the blocks of ``df`` if it has them, unless their weights are too steep for them.
     """
-    largest = min(block_rows(a) for _, a in specs.values())
-    if "__block" in df.columns and largest < BLOCK:
-        raise ValueError("weights this steep need shorter blocks than the frame already has")
-    block = BLOCK if "__block" in df.columns else min(largest, BLOCK)
-    if any((1.0 - a) ** block > NEGLIGIBLE for _, a in specs.values()):
-        raise ValueError("weights this flat need longer blocks")
-    keep, need = df.columns, min_periods or {}
-    df = in_blocks(df, block, key, time)
+    for _, a in specs.values():
+        if not 0 < a <= 1:
+            raise ValueError("a weight lies above 0 and is 1 at most")
+    names = list(specs)
+    for rows in sorted({block_rows(a) for _, a in specs.values()}, reverse=True):
+        df = _with_means(df, {n: s for n, s in specs.items() if block_rows(s[1]) == rows}, rows, min_periods or {}, key, time)
+    return df.select(*[c for c in df.columns if c not in names], *names)
+
+
+def _with_means(df, specs, rows, need, key, time):
+    keep, aside = df.columns, {}
+    if rows != BLOCK and "__block" in keep:
+        aside = {c: f"{c}_shared" for c in BLOCK_COLUMNS}
+        df = df.withColumnsRenamed(aside)
+    df = in_blocks(df, rows, key, time)
     across, head, whole = block_windows(key, time)
+    so_far, earlier = across.rowsBetween(Window.unboundedPreceding, 0), across.rowsBetween(Window.unboundedPreceding, -1)
+    inputs = {x: f"{i}" for i, x in enumerate(dict.fromkeys(x for x, _ in specs.values()))}
+    row = F.col("__block") * rows + F.col("__at")
 
-    counted = {}
-    for n, (x, _) in specs.items():
-        counted.setdefault(x, f"__n_{n}")
-    df = df.withColumns({
-        c: F.count(x).over(across.rowsBetween(Window.unboundedPreceding, 0)) for x, c in counted.items()})
-    scaled = {}
+    # in a block of like values means are taken of the distance from its first one: sums and their rounding stay small
+    first = {x: F.first(x, ignorenulls=True).over(whole) for x in inputs}
+    spread = {x: F.max(x).over(whole) - F.min(x).over(whole) for x in inputs}
+    df = df.withColumns({c: e for x, i in inputs.items() for c, e in (
+        (f"__seen{i}", F.count(x).over(so_far)), (f"__first{i}", F.when(spread[x] <= F.abs(first[x]) / 2, first[x]).when(spread[x].isNotNull(), 0.0)),
+        (f"__gap{i}", row - F.max(F.when(F.col(x).isNotNull(), row)).over(earlier)))})
+    share, decay = {}, {}
     for n, (x, a) in specs.items():
-        weight = F.when(F.col(counted[x]) == 1, 1.0).otherwise(a)
-        scaled[n] = F.coalesce(weight * F.col(x) * F.pow(F.lit(1.0 - a), -F.col("__at")), F.lit(0.0))
-    df = df.withColumns({
-        **{f"__s_{n}": F.sum(c).over(head) for n, c in scaled.items()},
-        **{f"__t_{n}": F.sum(c).over(whole) for n, c in scaled.items()},
-    })
-    df = df.withColumns({f"__b_{n}": F.coalesce(F.lag(f"__t_{n}", block).over(across), F.lit(0.0)) for n in specs})
-    out = {}
-    for n, (x, a) in specs.items():
-        here = F.col(f"__s_{n}") * F.pow(F.lit(1.0 - a), F.col("__at"))
-        before = F.col(f"__b_{n}") * F.lit((1.0 - a) ** (block - 1)) * F.pow(F.lit(1.0 - a), F.col("__at") + 1)
-        out[n] = F.when(F.col(counted[x]) >= need.get(n, 1), here + before)
-    return df.select(*keep, *[c.alias(n) for n, c in out.items()])
+        i = inputs[x]
+        gap, again = F.col(f"__gap{i}"), F.col(x).isNotNull() & F.col(f"__gap{i}").isNotNull()
+        old = F.pow(F.lit(1.0 - a), gap)
+        kept = gap * F.lit(math.log1p(-a)) - F.log(old + F.lit(a)) if a < 1 else F.lit(-GAP_DECAY)
+        decay[n] = F.when(again, F.greatest(kept, F.lit(-GAP_DECAY))).otherwise(0.0)
+        part = F.when(again, F.lit(a) / (old + F.lit(a))).otherwise(F.when(F.col(x).isNotNull(), 1.0))
+        share[n] = F.coalesce((F.col(x) - F.col(f"__first{i}")) * part, F.lit(0.0))
+    df = df.withColumns({**{f"__l_{n}": F.sum(d).over(head) for n, d in decay.items()}, **{f"__c_{n}": c for n, c in share.items()}})
+    df = df.withColumns({f"__y_{n}": F.sum(F.col(f"__c_{n}") * F.exp(-F.col(f"__l_{n}"))).over(head) * F.exp(F.col(f"__l_{n}")) for n in specs})
+
+    # what earlier blocks leave: their ends, folded at the first row of a block
+    end = F.lag(F.struct(*[f"__first{i}" for i in inputs.values()], *[f"__{k}_{n}" for n in specs for k in "ly"])).over(across)
+    df = df.withColumn("__end", F.when(F.col("__at") == 0, end)).withColumn("__ends", F.collect_list("__end").over(so_far))
+
+    def mean(before, first, l, y):
+        """The mean from what it was before the block, and the block's first value, decay and sum."""
+        return F.coalesce(first + (y + F.exp(l) * (F.coalesce(before, first) - first)), before)
+
+    df = df.withColumns({f"__b_{n}": F.when(F.col("__at") == 0, F.aggregate(
+        "__ends", F.lit(None).cast("double"), lambda b, e: mean(b, e[f"__first{inputs[x]}"], e[f"__l_{n}"], e[f"__y_{n}"])))  # noqa: B023
+        for n, (x, _) in specs.items()})
+    df = df.withColumns({f"__b_{n}": F.first(f"__b_{n}").over(head) for n in specs})
+    out = []
+    for n, (x, _) in specs.items():
+        i = inputs[x]
+        value = mean(F.col(f"__b_{n}"), F.col(f"__first{i}"), F.col(f"__l_{n}"), F.col(f"__y_{n}"))
+        out.append(F.when(F.col(f"__seen{i}") >= need.get(n, 1), value).alias(n))
+    return df.select(*[F.col(aside.get(c, c)).alias(c) for c in keep], *out)

@@ -89,12 +89,13 @@ def long_sums(df, n, sums, key=KEY, time=TIME):
     Spark evaluates a sliding frame in O(n) per row, which a long frame cannot afford. Here a frame is the
     head of the row's block less the head ``n`` rows earlier, plus the rest of the block before when the
     frame starts there. Sums restart in every block, so rounding does not build up along a series and an
-    extreme value affects the next block at most. ``n`` must not exceed the block length.
+    extreme value affects the next block at most. Frames longer than BLOCK rows take blocks of their own length.
     """
-    if n > BLOCK:
-        raise ValueError(f"frames of more than {BLOCK} rows need longer blocks")
-    keep = df.columns
-    df = in_blocks(df, BLOCK, key, time)
+    keep, aside = df.columns, {}
+    if n > BLOCK and "__block" in keep:
+        aside = {c: f"{c}_shared" for c in BLOCK_COLUMNS}
+        df = df.withColumnsRenamed(aside)
+    df = in_blocks(df, max(n, BLOCK), key, time)
     across, head, whole = block_windows(key, time)
     values = {k: F.coalesce(as_col(c).cast("double"), F.lit(0.0)) for k, c in sums.items()}
     df = df.withColumns({
@@ -109,4 +110,4 @@ def long_sums(df, n, sums, key=KEY, time=TIME):
         old, total = F.col(f"__earlier.__h_{k}"), F.col(f"__earlier.__t_{k}")
         here = F.col(f"__h_{k}")
         out[k] = F.when(before.isNull(), here).when(before == F.col("__block"), here - old).otherwise(here + (total - old))
-    return df.select(*keep, *[c.alias(k) for k, c in out.items()])
+    return df.select(*[F.col(aside.get(c, c)).alias(c) for c in keep], *[c.alias(k) for k, c in out.items()])

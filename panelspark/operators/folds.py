@@ -61,11 +61,16 @@ def fold_roles(df: DataFrame, n_folds: int = 5, horizon: int = LABEL_HORIZON, em
                unit: str = "date", split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Each row once per fold, with its role: train, test, purged or embargoed.
 
-    The fold table has ``n_folds`` rows and is broadcast; assigning roles moves no data.
+    The bounds, ``n_folds`` rows, are inlined as an array that every row explodes; assigning roles moves no data.
     """
     bounds = fold_bounds(df, n_folds, horizon, embargo_pct, unit)
-    return add_position(df, unit, split_rows).join(F.broadcast(bounds)) \
-        .withColumn("role", role()).select(*df.columns, "pos", "fold", "role")
+    return _in_folds(add_position(df, unit, split_rows), bounds).select(*df.columns, "pos", "fold", "role")
+
+
+def _in_folds(placed: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``placed`` once per fold, with the bounds and the role."""
+    rows = F.array(*[F.struct(*[F.lit(b[c]).cast(t).alias(c) for c, t in bounds.dtypes]) for b in bounds.orderBy("fold").collect()])
+    return placed.select("*", F.inline(rows)).withColumn("role", role())
 
 
 def fold_summary(roles: DataFrame) -> DataFrame:
@@ -78,13 +83,15 @@ def fold_leakage(df: DataFrame, n_folds: int = 5, horizon: int = LABEL_HORIZON,
     """Per fold: training rows before the test block whose label window reaches into it, for plain folds
     and for purged ones (where there are none)."""
     bounds = fold_bounds(df, n_folds, horizon, embargo_pct, "date")
-    placed = add_position(df, "date").join(F.broadcast(bounds)).withColumn("role", role())
+    days = df.groupBy("date").agg(F.count(F.lit(1)).alias("__rows"))  # folds meet a row per day, not the panel
+    placed = _in_folds(add_position(days, "date"), bounds)
     overlaps = (F.col("pos") < F.col("lo")) & (F.col("pos") + horizon >= F.col("lo"))
     plain = F.col("role") != "test"
+    rows = lambda which: F.sum(F.when(which, F.col("__rows")).otherwise(0))
     return placed.groupBy("fold").agg(
-        F.count_if(plain).alias("n_train_plain"), F.count_if(plain & overlaps).alias("n_leaking_plain"),
-        F.count_if(F.col("role") == "train").alias("n_train_purged"),
-        F.count_if((F.col("role") == "train") & overlaps).alias("n_leaking_purged"))
+        rows(plain).alias("n_train_plain"), rows(plain & overlaps).alias("n_leaking_plain"),
+        rows(F.col("role") == "train").alias("n_train_purged"),
+        rows((F.col("role") == "train") & overlaps).alias("n_leaking_purged"))
 
 
 def training_rows(panel: DataFrame, features=None, target: str = TARGET, exclude_tickers=()):

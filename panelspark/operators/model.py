@@ -6,7 +6,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler, VectorIndexer
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +25,9 @@ SEARCH_SPACE = {
     "bagging_fraction": [0.7, 0.8, 0.9],
     "min_child_samples": [20, 50, 100],
 }
+#: Depth of trees whose depth is not limited (-1): level-wise trees need a bound on the nodes of their last level.
 UNLIMITED_DEPTH = 12
 CATEGORY = "sector_code"
-MAX_CATEGORIES = 64
 
 
 def sample_candidates(space: dict, n_iter: int, seed: int = 42) -> list:
@@ -37,25 +37,30 @@ def sample_candidates(space: dict, n_iter: int, seed: int = 42) -> list:
     return grid if n_iter >= len(grid) else random.Random(seed).sample(grid, n_iter)
 
 
-def regressor(params: dict, features, target=TARGET, seed: int = 42) -> Pipeline:
-    """Assembler, category index and trees. The sector code is split as a category, not by order."""
+def n_categories(train: DataFrame) -> int:
+    """Distinct sector codes of the training rows."""
+    return train.select(CATEGORY).distinct().count() if CATEGORY in train.columns else 0
+
+
+def regressor(params: dict, features, target=TARGET, seed: int = 42, categories: int = 64,
+              unlimited_depth: int = UNLIMITED_DEPTH) -> Pipeline:
+    """Assembler, category index and trees. The sector code is split as a category, not by order, whatever the number of
+    sectors; ``categories`` is at least that number, else fitting fails. A code that is new in scoring is one more category."""
     stages = []
     numeric = [c for c in features if c != CATEGORY]
     inputs = list(numeric)
     if CATEGORY in features:
         stages += [
-            VectorAssembler(inputCols=[CATEGORY], outputCol="__sector", handleInvalid="error"),
-            VectorIndexer(inputCol="__sector", outputCol="__sector_index", maxCategories=MAX_CATEGORIES,
-                          handleInvalid="keep"),
+            StringIndexer(inputCol=CATEGORY, outputCol="__sector_index", handleInvalid="keep", stringOrderType="alphabetAsc"),
         ]
         inputs.append("__sector_index")
     depth = params.get("max_depth", 5)
     trees = GBTRegressor(
         featuresCol="__features", labelCol=target, predictionCol="predicted_score", seed=seed,
-        maxDepth=UNLIMITED_DEPTH if depth < 0 else depth, stepSize=params.get("learning_rate", 0.1),
+        maxDepth=unlimited_depth if depth < 0 else depth, stepSize=params.get("learning_rate", 0.1),
         maxIter=params.get("n_estimators", 20), featureSubsetStrategy=str(params.get("feature_fraction", "all")),
         subsamplingRate=params.get("bagging_fraction", 1.0), minInstancesPerNode=params.get("min_child_samples", 1),
-        maxBins=max(32, MAX_CATEGORIES + 2), checkpointInterval=10)
+        maxBins=max(32, categories + 2), checkpointInterval=10)
     return Pipeline(stages=stages + [VectorAssembler(inputCols=inputs, outputCol="__features"), trees])
 
 
@@ -65,27 +70,32 @@ def model_inputs(features) -> list:
 
 
 def search(train: DataFrame, features, candidates, target=TARGET, n_folds=5, horizon=LABEL_HORIZON,
-           embargo_pct=0.01, unit="date", parallelism=4, seed=42) -> DataFrame:
-    """(candidate, fold, rmse, params): each setting fitted and scored on each purged fold.
+           embargo_pct=0.01, unit="date", parallelism=4, seed=42, estimator=None, folds=None) -> DataFrame:
+    """(candidate, fold, rmse, n_train, n_test, params): each setting fitted and scored on each fold.
 
-    Rows and their places are stored once and filtered per fold by place. The fits are independent
-    distributed jobs, submitted by a few threads.
+    ``estimator(params)`` gives any estimator that writes ``predicted_score`` (default: ``regressor``). ``folds`` is any
+    splitter's table (fold, purge_from, lo, hi, embargo_to): places [lo, hi) test, those outside [purge_from, embargo_to)
+    train (default: purged folds). Rows and their places are stored once and filtered per fold by place. The fits
+    are independent distributed jobs, submitted by a few threads.
     """
     placed = materialize(cv.add_position(train.select("date", "ticker", target, *features), unit))
-    bounds = cv.fold_bounds(train, n_folds, horizon, embargo_pct, unit).collect()
+    bounds = (folds if folds is not None else cv.fold_bounds(train, n_folds, horizon, embargo_pct, unit)).collect()
+    if estimator is None:
+        categories = n_categories(placed)
+        estimator = lambda params: regressor(params, features, target, seed, categories)
     rmse = RegressionEvaluator(labelCol=target, predictionCol="predicted_score", metricName="rmse")
 
     def fit(job):
         i, params, b = job
         part = placed.filter((F.col("pos") < b.purge_from) | (F.col("pos") >= b.embargo_to))
         test = placed.filter((F.col("pos") >= b.lo) & (F.col("pos") < b.hi))
-        fitted = regressor(params, features, target, seed).fit(part)
-        return i, b.fold, float(rmse.evaluate(fitted.transform(test))), str(sorted(params.items()))
+        fitted = estimator(params).fit(part)
+        return i, b.fold, float(rmse.evaluate(fitted.transform(test))), part.count(), test.count(), str(sorted(params.items()))
 
     jobs = [(i, p, b) for i, p in enumerate(candidates) for b in bounds]
     with ThreadPool(parallelism) as pool:
         results = pool.map(fit, jobs)
-    return train.sparkSession.createDataFrame(results, "candidate int, fold int, rmse double, params string")
+    return train.sparkSession.createDataFrame(results, "candidate int, fold int, rmse double, n_train long, n_test long, params string")
 
 
 def best_candidate(results: DataFrame) -> DataFrame:
@@ -99,7 +109,8 @@ def fit_best(train: DataFrame, features, n_iter=30, target=TARGET, space=None, s
     results = search(train, features, candidates, target, seed=seed, **search_options)
     best = best_candidate(results).first()
     params = candidates[best.candidate]
-    return regressor(params, features, target, seed).fit(train), params, best.mean_rmse, results
+    estimator = search_options.get("estimator") or (lambda p: regressor(p, features, target, seed, n_categories(train)))
+    return estimator(params).fit(train), params, best.mean_rmse, results
 
 
 def train_model(panel: DataFrame, train_end=TRAIN_END, test_start=TEST_START, benchmarks=(), purge_boundary=0,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.rolling import div
 from panelspark.operators.backtest import performance_metrics, portfolio_returns, with_costs
-from panelspark.schema import COST_BPS, TRADING_DAYS
+from panelspark.schema import COST_BPS, REBALANCE_FREQ, TRADING_DAYS
 
 
 def cost_sweep(daily: DataFrame, bps=tuple(range(0, 31)), keys=(), days: int = TRADING_DAYS) -> DataFrame:
@@ -29,8 +29,11 @@ def breakeven_cost(daily: DataFrame, keys=()) -> DataFrame:
 
 
 def screener(panel: DataFrame, positions: DataFrame = None, columns=("rolling_beta", "parkinson_vol_20", "fracdiff_d"),
-             sector=None) -> DataFrame:
-    """Each ticker's latest values and latest weight (0 when it is not held on its latest date)."""
+             sector=None, rebalance_freq: int = REBALANCE_FREQ) -> DataFrame:
+    """Each ticker's latest values and latest weight (0 when it is not held on its latest date).
+
+    Positions of several rebalance frequencies count with that of ``rebalance_freq`` only.
+    """
     rows = panel.filter(F.col("sector") == sector) if sector is not None else panel
     extra = ["sector"] if "sector" in panel.columns else []
     latest = rows.groupBy("ticker").agg(
@@ -38,6 +41,8 @@ def screener(panel: DataFrame, positions: DataFrame = None, columns=("rolling_be
     latest = latest.select("ticker", "date", *[F.col(f"__row.{c}").alias(c) for c in [*extra, *columns]])
     if positions is None:
         return latest
+    if "rebalance_freq" in positions.columns:
+        positions = positions.filter(F.col("rebalance_freq") == rebalance_freq)
     return latest.join(positions.select("ticker", "date", "weight"), ["ticker", "date"], "left") \
         .withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 

@@ -1,8 +1,14 @@
 """The registered queries: name -> function of (session, folder of the given tables)."""
 
+import uuid
+
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.functions import ewm as ew
 from panelspark.functions.rolling import series
 from panelspark.operators import backtest as bt
 from panelspark.operators import features as ft
@@ -16,11 +22,11 @@ from panelspark.operators import ranking as rk
 from panelspark.operators import scenarios as sc
 from panelspark.plans import inputs as src
 from panelspark.sources import bars as sb
+from panelspark.sources import sinks as sk
 from panelspark.sources import universe as un
-from panelspark.storage import materialize
+from panelspark.storage import materialize, work_dir
 
 DIGITS = 6
-SHORT_THRESH = 1e-3
 START, END = "1996-01-01", "1999-12-31"
 TRAIN_END, TEST_START = "1999-12-31", "2000-01-01"
 BENCHMARKS = [src.MARKET, "S1"]
@@ -121,22 +127,22 @@ def daily_return(spark, d):
 
 @query
 def rolling_beta(spark, d):
-    return columns(lb.residual_returns(src.daily_bars(spark, d), src.MARKET), "rolling_beta", "rolling_alpha")
+    return columns(lb.residual_returns(src.stored_bars(spark, d), src.MARKET), "rolling_beta", "rolling_alpha")
 
 
 @query
 def residual_return(spark, d):
-    return columns(lb.residual_returns(src.daily_bars(spark, d), src.MARKET), "market_return", "residual_return")
+    return columns(lb.residual_returns(src.stored_bars(spark, d), src.MARKET), "market_return", "residual_return")
 
 
 @query
 def forward_targets(spark, d):
-    return columns(lb.label_panel(src.daily_bars(spark, d), src.MARKET), "fwd_residual_return", "fwd_raw_return")
+    return columns(lb.label_panel(src.stored_bars(spark, d), src.MARKET), "fwd_residual_return", "fwd_raw_return")
 
 
 @query
 def label_coverage(spark, d):
-    return rounded(lb.label_coverage(lb.label_panel(src.daily_bars(spark, d), src.MARKET)))
+    return rounded(lb.label_coverage(lb.label_panel(src.stored_bars(spark, d), src.MARKET)))
 
 
 @query
@@ -243,12 +249,12 @@ def feature_panel(spark, d):
 def ffd_apply(spark, d):
     logs = fd.log_price(src.daily_bars(spark, d))
     grid = [0.2, 0.4, 0.6, 0.8, 1.0]
-    return columns(fd.ffd(logs, grid, thresh=SHORT_THRESH), "log_close", *[fd.column_name(x) for x in grid])
+    return columns(fd.ffd(logs, grid), "log_close", *[fd.column_name(x) for x in grid])
 
 
 @query
 def unit_root_tests(spark, d):
-    return rounded(fd.unit_root_table(fd.log_price(src.daily_bars(spark, d)), thresh=SHORT_THRESH))
+    return rounded(fd.unit_root_table(fd.log_price(src.daily_bars(spark, d))))
 
 
 @query
@@ -260,18 +266,18 @@ def unit_root_of_columns(spark, d):
 
 @query
 def unit_root_p_values(spark, d):
-    return rounded(fd.unit_root_table(fd.log_price(src.daily_bars(spark, d)), thresh=SHORT_THRESH, p_values=True))
+    return rounded(fd.unit_root_table(fd.log_price(src.daily_bars(spark, d)), p_values=True))
 
 
 @query
 def optimal_d(spark, d):
-    return rounded(fd.optimal_d(fd.unit_root_table(fd.log_price(src.daily_bars(spark, d)), thresh=SHORT_THRESH)))
+    return rounded(fd.optimal_d(fd.unit_root_table(fd.log_price(src.daily_bars(spark, d)))))
 
 
 @query
 def fracdiff_panel(spark, d):
     bars = src.daily_bars(spark, d).select("ticker", "date", "close")
-    return columns(fd.fracdiff_panel(bars, [src.MARKET], thresh=SHORT_THRESH), "log_close", "fracdiff_d", "fracdiff_close")
+    return columns(fd.fracdiff_panel(bars, [src.MARKET]), "log_close", "fracdiff_d", "fracdiff_close")
 
 
 @query
@@ -283,7 +289,7 @@ def fracdiff_long_memory(spark, d):
 
 @query
 def d_summary(spark, d):
-    tests = fd.unit_root_table(fd.log_price(src.daily_bars(spark, d)), thresh=SHORT_THRESH)
+    tests = fd.unit_root_table(fd.log_price(src.daily_bars(spark, d)))
     return rounded(fd.d_summary(fd.optimal_d(tests), [src.MARKET]))
 
 
@@ -336,8 +342,8 @@ def rebalance_schedule(spark, d):
     return rounded(pf.rebalance_schedule(src.score_panel(spark, d)))
 
 
-def positions(spark, d, freqs=(5,)):
-    return materialize(pf.construct_portfolio(src.score_panel(spark, d), freqs=freqs))
+def positions(spark, d, freqs=(5,), bars=None):
+    return materialize(pf.construct_portfolio(src.score_panel(spark, d, bars), freqs=freqs))
 
 
 def daily_table(spark, d):
@@ -439,10 +445,11 @@ def breakeven_cost(spark, d):
 
 @query
 def screener(spark, d):
-    bars = lb.residual_returns(src.daily_bars(spark, d), src.MARKET)
-    panel = fd.fracdiff_panel(bars.withColumn("parkinson_vol_20", ft.parkinson(20)), [src.MARKET], thresh=SHORT_THRESH)
+    daily = src.stored_bars(spark, d)
+    bars = lb.residual_returns(daily, src.MARKET)
+    panel = fd.fracdiff_panel(bars.withColumn("parkinson_vol_20", ft.parkinson(20)), [src.MARKET])
     panel = ft.with_sector(panel.filter(F.col("ticker") != src.MARKET), src.supplier_universe(spark, d))
-    return rounded(sc.screener(panel, positions(spark, d)))
+    return rounded(sc.screener(panel, positions(spark, d, bars=daily)))
 
 
 @query
@@ -482,10 +489,122 @@ def purged_boundary_split(spark, d):
     return rounded(cv.split_summary(train, test, len(used)))
 
 
-# model (rows only: trees have no SQL form)
+# sources and sinks: written to the work folder and read back
+
+def _folder(spark) -> str:
+    return f"{work_dir(spark)}/sink-{uuid.uuid4().hex}"
+
+
+@query
+def bars_store(spark, d):
+    """Bars by year, and a range of days read back."""
+    path = _folder(spark)
+    sk.write_bars(src.stored_bars(spark, d), path)
+    return rounded(sb.read_bars(spark, path, START, END))
+
+
+@query
+def vendor_bars(spark, d):
+    """Events in a vendor's columns: the first of a user's day stays."""
+    events = src.table(spark, d, "events")
+    vendor = events.select(F.col("user_id").alias("Ticker"), F.col("ts").alias("Datetime"), F.col("value").alias("Open"),
+                           (F.col("value") + 1).alias("HIGH"), F.col("value").alias("close"), F.lit(1).alias("Volume"), "event_type")
+    return rounded(sb.normalise_bars(vendor))
+
+
+@query
+def universe_store(spark, d):
+    """The universe document written and read back."""
+    path = _folder(spark)
+    sk.write_json(un.universe_document(src.supplier_universe(spark, d), BENCHMARKS, START, END), path)
+    return rounded(un.read_universe(spark, path))
+
+
+@query
+def panel_store(spark, d):
+    path = _folder(spark)
+    sk.write_panel(lb.daily_return(src.daily_bars(spark, d)), path)
+    return columns(spark.read.parquet(path), "daily_return")
+
+
+@query
+def csv_store(spark, d):
+    """The daily table of a portfolio as CSV."""
+    path = _folder(spark)
+    table = daily_table(spark, d)
+    sk.write_csv(table, path)
+    return rounded(spark.read.option("header", True).schema(table.schema).csv(path))
+
+
+@query
+def missing_tickers(spark, d):
+    """Suppliers without a bar on one day."""
+    return sb.missing_tickers(src.supplier_universe(spark, d), src.daily_bars(spark, d, START, START))
+
+
+# exponentially weighted means of other spans
+
+SPANS = (2, 5, 50, 200, 2000)
+
+
+@query
+def ewm_spans(spark, d):
+    """Means of five spans and of weight 1/50."""
+    specs = {f"ewm_{n}": ("close", ew.span_alpha(n)) for n in SPANS} | {"ewm_a50": ("close", 1 / 50)}
+    return columns(ew.ewm(src.daily_bars(spark, d), specs), *specs)
+
+
+@query
+def ewm_with_gaps(spark, d):
+    """A mean over bars with null prices."""
+    return columns(ew.ewm(src.holey_bars(spark, d), {"ewm_20": ("close", ew.span_alpha(20))}), "ewm_20")
+
+
+@query
+def rsi_50(spark, d):
+    return columns(ft.rsi(src.daily_bars(spark, d), 50, name="rsi_50"), "rsi_50")
+
+
+@query
+def macd_50_100(spark, d):
+    return columns(ft.macd(src.daily_bars(spark, d), 50, 100, 9), "macd", "macd_signal", "macd_hist")
+
+
+# models (trees have rows only: no SQL form; least squares has one)
+
+TREES = {"max_depth": 4, "learning_rate": 0.1, "n_estimators": 10, "feature_fraction": 0.8,
+         "bagging_fraction": 0.8, "min_child_samples": 20}
+
+
+def least_squares(features, target):
+    def estimator(params):
+        return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="__x"), LinearRegression(
+            featuresCol="__x", labelCol=target, predictionCol="predicted_score", solver="normal", standardization=False)])
+    return estimator
+
+
+def linear_rows(spark, d):
+    rows, _, _ = cv.training_rows(src.score_panel(spark, d), ["predicted_score"], "fwd_raw_return")
+    return materialize(rows.select("date", "ticker", "fwd_raw_return", F.col("predicted_score").alias("momentum")))
+
+
+@query
+def cv_rmse_linear(spark, d):
+    """Error and row counts of least squares on momentum in each purged fold."""
+    rows = linear_rows(spark, d)
+    found = md.search(rows, ["momentum"], [{}], "fwd_raw_return", estimator=least_squares(["momentum"], "fwd_raw_return"))
+    return rounded(found.select("fold", "rmse", "n_train", "n_test"))
+
+
+@query
+def scores_linear(spark, d):
+    """Scores of least squares fitted before the test period; null without momentum."""
+    rows = linear_rows(spark, d)
+    train, _ = cv.time_split(rows, TRAIN_END, TEST_START)
+    model = least_squares(["momentum"], "fwd_raw_return")({}).fit(train)
+    panel = src.score_panel(spark, d).select("ticker", "date", F.col("predicted_score").alias("momentum"))
+    return columns(md.score(model, panel, ["momentum"]), "predicted_score")
 
-SMALL_TREES = {"max_depth": 4, "learning_rate": 0.1, "n_estimators": 10, "feature_fraction": 0.8,
-               "bagging_fraction": 0.8, "min_child_samples": 20}
 
 
 def fitted(spark, d):
@@ -493,7 +612,7 @@ def fitted(spark, d):
     rows, used, _ = cv.training_rows(panel, exclude_tickers=[src.MARKET])
     train, test = cv.time_split(rows, TRAIN_END, TEST_START)
     train = materialize(train)
-    return panel, train, test, used, md.regressor(SMALL_TREES, used).fit(train)
+    return panel, train, test, used, md.regressor(TREES, used, categories=md.n_categories(train)).fit(train)
 
 
 @query
@@ -514,5 +633,5 @@ def cv_search(spark, d):
     rows, used, _ = cv.training_rows(panel, exclude_tickers=[src.MARKET])
     train, _ = cv.time_split(rows, TRAIN_END, TEST_START)
     space = {"max_depth": [2, 3], "learning_rate": [0.05, 0.1], "n_estimators": [3], "min_child_samples": [20]}
-    results = md.search(materialize(train), used, md.sample_candidates(space, 2), n_folds=3)
+    results = md.search(materialize(train), used, md.sample_candidates(space, 2))
     return rounded(md.best_candidate(results))

@@ -36,6 +36,11 @@ def daily_bars(spark, sf_dir, start=None, end=None, composite=MARKET) -> DataFra
     return build_bars(rows, supplier_ticker(), F.to_date("l_shipdate"), price(), "l_quantity", DAY_ORDER, composite, "l_suppkey")
 
 
+def stored_bars(spark, sf_dir) -> DataFrame:
+    """Daily bars, built once for queries that read them more than once."""
+    return materialize(daily_bars(spark, sf_dir))
+
+
 def weekly_bars(spark, sf_dir, composite=MARKET) -> DataFrame:
     """Part brands by week. Spark picks the join with part from its size; a hot part is split at run time."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
@@ -67,12 +72,12 @@ def supplier_universe(spark, sf_dir) -> DataFrame:
     return with_sector_codes(listed)
 
 
-def score_panel(spark, sf_dir) -> DataFrame:
+def score_panel(spark, sf_dir, daily: DataFrame = None) -> DataFrame:
     """The stored input of ranking and portfolios: momentum as the score of each supplier and day.
 
     The forward return is rounded so that equal sums stay equal whatever the order of addition.
     """
-    bars = labels.daily_return(daily_bars(spark, sf_dir))
+    bars = labels.daily_return(daily if daily is not None else daily_bars(spark, sf_dir))
     panel = bars.select(
         "ticker", "date", "daily_return",
         change("close", 5).alias("predicted_score"),
@@ -86,6 +91,6 @@ def model_panel(spark, sf_dir) -> DataFrame:
     """The stored panel with labels, a differenced price and all model features."""
     from panelspark.operators.fracdiff import fracdiff_panel
 
-    labelled = labels.label_panel(daily_bars(spark, sf_dir), MARKET)
-    differenced = fracdiff_panel(labelled, [MARKET], thresh=1e-3)
+    labelled = labels.label_panel(stored_bars(spark, sf_dir), MARKET)
+    differenced = fracdiff_panel(labelled, [MARKET])
     return materialize(features.engineer_features(differenced, supplier_universe(spark, sf_dir)))

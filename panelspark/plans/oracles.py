@@ -3,7 +3,8 @@
 Each text is a chain of common table expressions (``CTES``) and a final select.
 """
 
-from panelspark.plans.catalog import END, FREQS, PANEL_COLUMNS, SHORT_THRESH, START, TEST_START, TRAIN_END
+from panelspark.plans.catalog import END, FREQS, PANEL_COLUMNS, SPANS, START, TEST_START, TRAIN_END
+from panelspark.schema import FFD_THRESH
 
 TICKER = "partition by ticker order by date"
 
@@ -196,7 +197,7 @@ ALL_FREQS = {"freqs": CTES["freqs"].format(", ".join(map(str, FREQS)))}
 GRID = "0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9"
 
 
-def weights(grid=GRID, thresh=SHORT_THRESH):
+def weights(grid=GRID, thresh=FFD_THRESH):
     return {"ws": CTES["ws"].format(grid=", ".join(f"cast({d} as double)" for d in grid.split(", ")), thresh=f"{thresh:.10f}")}
 
 
@@ -493,3 +494,67 @@ ORACLES = {
     "split_summary": split(2, EXTRA_SPLIT),
     "purged_boundary_split": split(1, LATE_DAYS),
 }
+
+# means of other spans: one recursion step per row, with the rows since the last value
+
+
+def means(source, alphas):
+    """Recursion over the rows of ``source`` (ticker, date, x): one column per name in ``alphas``."""
+    step = lambda n, a: (f"case when t.x is null then e.{n} when e.{n} is null then t.x "
+                         f"else (pow({1 - a!r}::double, e.gap) * e.{n} + {a!r}::double * t.x) / (pow({1 - a!r}::double, e.gap) + {a!r}::double) end as {n}")
+    return f"""with recursive src as ({source}), numbered as (select *, row_number() over (partition by ticker order by date) as rn from src),
+    y as (select ticker, rn, {', '.join(f'x as {n}' for n in alphas)}, 1 as gap from numbered where rn = 1
+        union all select t.ticker, t.rn, {', '.join(step(n, a) for n, a in alphas.items())}, case when t.x is null then e.gap + 1 else 1 end
+        from y e join numbered t on t.ticker = e.ticker and t.rn = e.rn + 1)
+    select ticker, date, {r6(*alphas)} from y join numbered using (ticker, rn)"""
+
+
+def long_oscillators(final, period=14, fast=12, slow=26, signal=9):
+    """The oscillators over daily bars with other periods."""
+    emas = f"""select ticker, rn, cast(null as double) as g, cast(null as double) as l, close as f, close as s, cast(0 as double) as sig
+            from steps where rn = 1
+        union all
+        select t.ticker, t.rn,
+            case when e.rn = 1 then t.gain else e.g * {period - 1} / {period}.0 + t.gain / {period}.0 end,
+            case when e.rn = 1 then t.loss else e.l * {period - 1} / {period}.0 + t.loss / {period}.0 end,
+            e.f + (t.close - e.f) * 2 / {fast + 1}, e.s + (t.close - e.s) * 2 / {slow + 1},
+            e.sig * {1 - 2 / (signal + 1)!r} + {2 / (signal + 1)!r} * ((e.f + (t.close - e.f) * 2 / {fast + 1}) - (e.s + (t.close - e.s) * 2 / {slow + 1}))
+        from emas e join steps t on t.ticker = e.ticker and t.rn = e.rn + 1"""
+    return sql(final, "daily", "steps", "emas", steps=CTES["steps"].format(bars="daily"), emas=emas)
+
+
+CTES["lin"] = """select date, ticker, predicted_score as x, fwd_raw_return as y from panel
+    where predicted_score is not null and fwd_raw_return is not null"""
+CTES["lin_places"] = "select *, dense_rank() over (order by date) - 1 as pos from lin"
+CTES["line"] = f"""select regr_slope(y, x) as slope, regr_intercept(y, x) as intercept from lin where date <= '{TRAIN_END}'"""
+DEPENDS |= {"lin": ["panel"], "lin_places": ["lin"], "line": ["lin"]}
+LINEAR_FOLDS = {"bounds": CTES["bounds"].format(n="count(distinct date)", places="lin_places"),
+                "roles": CTES["roles"].format(places="lin_places")}
+
+ORACLES |= {
+    "bars_store": ORACLES["date_range_scan"],
+    "vendor_bars": """select ticker, date, round(value, 6) as open, round(value + 1, 6) as high, cast(null as double) as low,
+        round(value, 6) as close, cast(1 as double) as volume from (
+        select cast(user_id as varchar) as ticker, cast(ts as date) as date, value,
+            row_number() over (partition by user_id, cast(ts as date) order by ts, value) as rn from events) where rn = 1""",
+    "universe_store": ORACLES["universe_dim"],
+    "panel_store": ORACLES["daily_return"],
+    "csv_store": ORACLES["portfolio_returns"],
+    "missing_tickers": f"""select 'S' || s_suppkey as ticker from supplier where s_suppkey not in (
+        select l_suppkey from lineitem where cast(l_shipdate as date) = '{START}')""",
+    "ewm_spans": means(sql("select ticker, date, close as x from daily", "daily"),
+                       {f"ewm_{n}": 2 / (n + 1) for n in SPANS} | {"ewm_a50": 1 / 50}),
+    "ewm_with_gaps": means(f"select ticker, date, close as x from (select ticker, date, last(price order by {ORDER}) filter (price is not null) as close from ("
+                           f"select 'S' || l_suppkey as ticker, cast(l_shipdate as date) as date, case when l_returnflag <> 'R' then {PRICE} end as price, {ORDER} "
+                           "from lineitem) group by ticker, date)", {"ewm_20": 2 / 21}),
+    "rsi_50": long_oscillators("""select ticker, date, round(case when rn >= 51 and l > 1e-12 then 100 - 100 / (1 + g / l) else 50 end, 6) as rsi_50
+        from emas join steps using (ticker, rn)""", period=50),
+    "macd_50_100": long_oscillators("""select ticker, date, round(f - s, 6) as macd, round(sig, 6) as macd_signal, round(f - s - sig, 6) as macd_hist
+        from emas join steps using (ticker, rn)""", fast=50, slow=100),
+    "cv_rmse_linear": sql("""select cast(fold as bigint) as fold, round(sqrt(avg(pow(y - intercept - slope * x, 2)) filter (role = 'test')), 6) as rmse,
+        count(*) filter (role = 'train') as n_train, count(*) filter (role = 'test') as n_test
+        from roles join (select fold, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept from roles where role = 'train' group by fold)
+        using (fold) group by fold""", "lin_places", "roles", **LINEAR_FOLDS),
+    "scores_linear": sql("select ticker, date, round(intercept + slope * predicted_score, 6) as predicted_score from panel, line", "panel", "line"),
+}
+

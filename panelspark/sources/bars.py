@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from panelspark.schema import BAR, PRICE_COLUMNS
 
 
-def read_bars(spark: SparkSession, path, start=None, end=None, tickers=None, skip_corrupt=True) -> DataFrame:
+def read_bars(spark: SparkSession, path, start=None, end=None, tickers=None, skip_corrupt=False) -> DataFrame:
     """Stored bars with a fixed schema; the date and ticker filters reach the Parquet scan.
 
-    ``start`` and ``end`` are inclusive dates or 'YYYY-MM-DD' strings. Unreadable files are skipped.
+    ``start`` and ``end`` are inclusive dates or 'YYYY-MM-DD' strings. An unreadable file fails the
+    read, unless ``skip_corrupt``; ``missing_tickers`` then tells which tickers have no bars.
     """
     df = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).schema(BAR).parquet(path)
     if "year" in df.columns:  # the layout of ``sinks.write_bars``: whole years are skipped
@@ -22,10 +23,15 @@ def read_bars(spark: SparkSession, path, start=None, end=None, tickers=None, ski
     return df.select(*BAR.names)
 
 
-def read_ticker_files(spark: SparkSession, path, pattern=r"([^/]+)\.parquet$", timezone=None) -> DataFrame:
+def missing_tickers(requested: DataFrame, bars: DataFrame) -> DataFrame:
+    """The requested tickers that have no bar: absent from the store, or in files that were skipped."""
+    return requested.select("ticker").distinct().join(bars.select("ticker").distinct(), "ticker", "left_anti")
+
+
+def read_ticker_files(spark: SparkSession, path, pattern=r"([^/]+)\.parquet$", timezone=None, skip_corrupt=False) -> DataFrame:
     """A folder with one Parquet file per ticker: the ticker comes from the file name."""
     raw = (
-        spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").parquet(path)
+        spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).option("recursiveFileLookup", "true").parquet(path)
         .withColumn("ticker", F.regexp_extract(F.input_file_name(), pattern, 1))
     )
     return normalise_bars(raw, timezone)

@@ -79,7 +79,7 @@ def test_read_one_file_per_ticker(spark, tmp_path):
     for t, part in pdf.groupby("ticker"):
         part.drop(columns="ticker").rename(columns=str.capitalize).to_parquet(tmp_path / f"{t}.parquet")
     (tmp_path / "CC.parquet").write_bytes(b"not parquet")
-    got = result(sb.read_ticker_files(spark, str(tmp_path)), "ticker", "date")
+    got = result(sb.read_ticker_files(spark, str(tmp_path), skip_corrupt=True), "ticker", "date")
     assert got.ticker.unique().tolist() == ["AA", "BB"] and len(got) == 10
 
 
@@ -126,3 +126,17 @@ def test_panel_sink(spark, tmp_path):
     panel = frame(spark, bars_pdf(["A"], 10), BAR_DDL)
     sinks.write_panel(fracdiff.log_price(panel), str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 10
+
+
+def test_corrupt_files_fail_or_are_skipped_on_request(spark, tmp_path):
+    from panelspark.sources import bars as sb
+
+    for t in ("A", "B"):
+        frame(spark, bars_pdf([t], 5), BAR_DDL).drop("ticker").toPandas().to_parquet(tmp_path / f"{t}.parquet")
+    (tmp_path / "C.parquet").write_bytes(b"PAR1 this is no parquet file PAR1")
+    with pytest.raises(Exception):
+        sb.read_ticker_files(spark, str(tmp_path)).count()
+    got = sb.read_ticker_files(spark, str(tmp_path), skip_corrupt=True)
+    assert got.select("ticker").distinct().count() == 2
+    asked = spark.createDataFrame([(t,) for t in "ABCDA"], "ticker string")
+    assert sorted(r.ticker for r in sb.missing_tickers(asked, got).collect()) == ["C", "D"]

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from conftest import BAR_DDL, bars_pdf, close_to, days, frame, result
 
 from panelspark.functions import ewm as ew
@@ -104,7 +105,55 @@ def test_ewm_over_many_blocks(spark):
     close_to(got.z, pdf.x.ewm(alpha=0.2, adjust=False).mean(), 1e-9)
 
 
-def test_ewm_rejects_weights_it_cannot_hold(spark):
+@pytest.mark.parametrize("span", [1, 2, 5, 50, 200, 2000])
+def test_ewm_of_any_span_with_gaps(spark, span):
+    rng = np.random.RandomState(span)
+    x = pd.Series(100 + rng.randn(3000).cumsum())
+    x[rng.rand(3000) < 0.2] = np.nan
+    x[700:1900] = np.nan
+    x[:3] = np.nan
+    pdf = pd.DataFrame({"ticker": "A", "date": days(3000, "1990-01-01"), "x": x})
+    df = frame(spark, pdf, "ticker string, date date, x double")
+    got = result(ew.ewm(df, {"y": ("x", ew.span_alpha(span)), "z": ("x", 1 / 50)}, {"y": 4}), "date")
+    close_to(got.y, x.ewm(span=span, adjust=False, min_periods=4).mean(), 1e-9)
+    close_to(got.z, x.ewm(alpha=1 / 50, adjust=False).mean(), 1e-9)
+
+
+def test_ewm_of_a_constant_with_a_null_is_the_constant(spark):
+    rows = [("A", d, None if i == 5 else 100.0) for i, d in enumerate(days(40))]
+    got = result(ew.ewm(frame(spark, rows, "ticker string, date date, x double"), {"y": ("x", 0.1)}), "date").y
+    close_to(got, [100.0] * 40)
+
+
+def test_ewm_weights(spark):
     df = frame(spark, [("A", days(1)[0], 1.0)], "ticker string, date date, x double")
-    with pytest.raises(ValueError):
-        ew.ewm(df, {"y": ("x", 0.0001)})
+    for alpha in (0.0, 1.1):
+        with pytest.raises(ValueError):
+            ew.ewm(df, {"y": ("x", alpha)})
+
+
+@pytest.mark.parametrize("period", [2, 50])
+def test_long_rsi_and_macd(spark, period):
+    rng = np.random.RandomState(4)
+    c = pd.Series(100 + rng.randn(400).cumsum())
+    pdf = pd.DataFrame({"ticker": "A", "date": days(400), "close": c})
+    df = frame(spark, pdf, "ticker string, date date, close double")
+    delta = c.diff()
+    gain = delta.clip(lower=0).ewm(alpha=1 / period, min_periods=period, adjust=False).mean()
+    loss = (-delta.clip(upper=0)).ewm(alpha=1 / period, min_periods=period, adjust=False).mean()
+    close_to(result(ft.rsi(df, period, name="r"), "date").r, (100 - 100 / (1 + gain / loss)).fillna(50), 1e-8)
+    line = c.ewm(span=50, adjust=False).mean() - c.ewm(span=100, adjust=False).mean()
+    got = result(ft.macd(df, 50, 100, 5), "date")
+    close_to(got.macd_signal, line.ewm(span=5, adjust=False).mean(), 1e-8)
+
+
+def test_frames_longer_than_a_block(spark, monkeypatch):
+    from panelspark.functions import rolling
+
+    monkeypatch.setattr(rolling, "BLOCK", 16)
+    x = pd.Series(np.random.RandomState(5).randn(200))
+    df = frame(spark, pd.DataFrame({"ticker": "A", "date": days(200), "x": x}), "ticker string, date date, x double")
+    for n in (10, 16, 40):
+        got = result(rolling.long_sums(rolling.in_blocks(df, 16), n, {"s": F.col("x")}), "date")
+        close_to(got.s, x.rolling(n, min_periods=1).sum(), 1e-9)
+        assert "__block" in got.columns

@@ -71,3 +71,35 @@ def test_sampling_is_seeded_and_distinct():
     a, b = md.sample_candidates(md.SEARCH_SPACE, 30), md.sample_candidates(md.SEARCH_SPACE, 30)
     assert a == b and len({tuple(c.items()) for c in a}) == 30
     assert pd.DataFrame(a).isin(sum(md.SEARCH_SPACE.values(), [])).all().all()
+
+
+@pytest.mark.parametrize("sectors", [60, 70, 500])
+def test_any_number_of_sectors_is_split_as_categories(spark, sectors):
+    """Odd and even sectors differ: one split of a category is enough, one of a number is not."""
+    rows = [(f"T{i}", d, 0.0, i, 0.0, float(i % 2)) for i in range(sectors) for d in days(4)]
+    df = frame(spark, rows, SCHEMA)
+    fitted = md.regressor({"max_depth": 1, "n_estimators": 1, "learning_rate": 1.0}, FEATURES, "target",
+                          categories=md.n_categories(df)).fit(df)
+    got = result(md.score(fitted, df, FEATURES))
+    assert (got.predicted_score - got.target).abs().max() < 1e-9
+
+
+def test_depth_without_limit_is_a_parameter():
+    depth = lambda **o: md.regressor({"max_depth": -1}, ["f"], "target", **o).getStages()[-1].getMaxDepth()
+    assert depth() == md.UNLIMITED_DEPTH and depth(unlimited_depth=7) == 7
+
+
+def test_search_takes_any_estimator_and_folds(spark, panel):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    def estimator(params):
+        return Pipeline(stages=[VectorAssembler(inputCols=["f"], outputCol="x"), LinearRegression(
+            featuresCol="x", labelCol="target", predictionCol="predicted_score", regParam=params["reg"])])
+
+    folds = spark.createDataFrame([(0, 0, 0, 20, 25), (1, 35, 40, 60, 60)], "fold int, purge_from long, lo long, hi long, embargo_to long")
+    got = md.search(panel, ["f"], [{"reg": 0.0}, {"reg": 10.0}], "target", estimator=estimator, folds=folds).toPandas()
+    assert sorted(zip(got.fold, got.n_train, got.n_test)) == [(0, 280, 160)] * 2 + [(1, 280, 160)] * 2
+    best = md.best_candidate(spark.createDataFrame(got)).first()
+    assert best.candidate == 0

@@ -68,3 +68,12 @@ def test_results_are_stored_in_the_shared_folder(spark, bars):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert configured is None or work_dir(spark) == configured.rstrip("/")
     assert stored.schema == bars.schema and materialize(bars).inputFiles() != stored.inputFiles()
+
+
+def test_one_scan_for_labels_and_no_nested_loops_over_the_panel(spark, data):
+    from panelspark.plans.catalog import QUERIES
+
+    for name in ("rolling_beta", "forward_targets", "label_coverage"):
+        assert "lineitem" not in plan(QUERIES[name](spark, data))  # bars are stored, then read twice
+    for name in ("purged_folds_date", "fold_leakage"):
+        assert "NestedLoop" not in plan(QUERIES[name](spark, data))
