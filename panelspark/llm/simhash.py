@@ -206,9 +206,10 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
     least = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = stored(links(least, distance))
     roots = components(edges)
-    named = least.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # stored, so that Spark splits the join at a root of very many fingerprints
+    named = stored(least.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")))
+    of_root = stored(named.groupBy("root").agg(F.min("least").alias("component_id")))
     by_fp = named.join(of_root, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
