@@ -558,3 +558,19 @@ ORACLES |= {
     "scores_linear": sql("select ticker, date, round(intercept + slope * predicted_score, 6) as predicted_score from panel, line", "panel", "line"),
 }
 
+# p-values: the normal distribution by its series, Student's by Simpson's rule over the same angle
+def unit_root_p_values(final):
+    return sql(f"""select ticker, d, n_obs, round(stat, 6) as stat, round(case when stat > 2.74 then 1 when stat < -18.83 then 0 when stat is null then 1
+        else greatest(0, least(1, 0.5 + v * exp(-v * v / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200),
+            lambda k: exp(k * ln(greatest(v * v, 1e-300)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())))))) end, 6) as p_value
+        from (select *, greatest(-8.5, least(8.5, case when stat <= -1.61 then 2.1659 + 1.4412 * stat + 0.038269 * stat * stat
+            else 1.7339 + 0.93202 * stat - 0.12745 * stat * stat - 0.010368 * stat * stat * stat end)) as v from ({final}))""", "tests", **weights())
+
+
+ORACLES |= {
+    "unit_root_p_values": unit_root_p_values("select ticker, cast(d as double) as d, n_obs, stat from tests"),
+    "rank_ic_p_values": sql("""select date, round(ic, 6) as ic, n_stocks, round(case when abs(ic) >= 1 then 0 when ic is not null then greatest(0, least(1,
+        1 - 2 / sqrt(pi()) * exp(lgamma((n_stocks - 1) / 2.0) - lgamma((n_stocks - 2) / 2.0)) * u / 6000 * list_sum(list_transform(range(0, 2001),
+            lambda i: (case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end) * pow(cos(u * i / 2000), n_stocks - 3))))) end, 6) as p_value
+        from (select *, asin(least(abs(ic), 1)) as u from ic)""", "ic"),
+}

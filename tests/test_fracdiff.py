@@ -67,10 +67,13 @@ def test_constant_series_has_no_test(spark):
     assert np.isnan(fd.unit_root_stat(np.full(80, 2.0)))
 
 
-def test_p_values():
+def test_p_values(spark):
     for stat, p in ((-3.43, 0.00998), (-2.86, 0.0502), (-2.57, 0.0994)):
         assert abs(stats.unit_root_p(stat) - p) < 1e-4
     assert stats.unit_root_p(3.0) == 1.0 and stats.unit_root_p(-19.0) == 0.0
+    values = [None, 3.0, -19.0, *np.linspace(-18, 2.7, 60).tolist()]
+    got = frame(spark, [(v,) for v in values], "s double").select(stats.unit_root_p_column("s")).collect()
+    assert got[0][0] is None and all(abs(g[0] - stats.unit_root_p(v)) < 1e-12 for g, v in zip(got[1:], values[1:]))
     assert abs(stats.unit_root_critical(0.05) - -2.8615928) < 1e-6
     assert abs(stats.unit_root_p(stats.unit_root_critical(0.01)) - 0.01) < 1e-9
 

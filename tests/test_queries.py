@@ -8,8 +8,8 @@ import __spark_entry__ as entry
 from panelspark.plans.catalog import QUERIES
 from panelspark.plans.oracles import ORACLES
 
-# trees have no SQL form, and p-values need functions that SQL lacks (checked in test_model, test_fracdiff, test_ranking)
-WITHOUT_SQL = {"model_scores", "feature_importance", "cv_search", "unit_root_p_values", "rank_ic_p_values"}
+# trees have no SQL form (checked in test_model)
+WITHOUT_SQL = {"model_scores", "feature_importance", "cv_search"}
 
 
 @pytest.fixture(scope="module")

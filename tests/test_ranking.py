@@ -1,14 +1,19 @@
+import math
 import numpy as np
 import pandas as pd
 import pytest
 from conftest import close_to, days, frame, result
 
-from panelspark.functions.stats import correlation_p
+from panelspark.functions.stats import correlation_p_column
 from panelspark.operators import ranking as rk
 
 SCHEMA = "date date, ticker string, predicted_score double, fwd_raw_return double"
 
 
+def p_value(spark, r, n):
+    return frame(spark, [(float(r), int(n))], "r double, n long").select(correlation_p_column("r", "n")).first()[0]
+
+
 def cross_sections():
     rng = np.random.RandomState(4)
     rows = []
@@ -67,7 +72,9 @@ def test_p_values(spark):
         grid = np.linspace(0, t, 200001)
         density = gamma((df + 1) / 2) / (sqrt(df * pi) * gamma(df / 2)) * (1 + grid ** 2 / df) ** (-(df + 1) / 2)
         area = ((density[1:] + density[:-1]) / 2).sum() * (grid[1] - grid[0])
-        assert abs(correlation_p(r, n) - (1 - 2 * area)) < 1e-8
-    assert correlation_p(1.0, 20) == 0 and abs(correlation_p(0.0, 20) - 1) < 1e-12
+        assert abs(p_value(spark, r, n) - (1 - 2 * area)) < 1e-8
+    assert p_value(spark, 1.0, 20) == 0 and abs(p_value(spark, 0.0, 20) - 1) < 1e-12
+    assert abs(p_value(spark, 1.96e-4, 100_000_000) - math.erfc(1.96 / math.sqrt(2))) < 1e-7 and p_value(spark, 0.9, 100_000) < 1e-9
+    assert abs(p_value(spark, 0.5, 3) - (1 - 2 * math.asin(0.5) / math.pi)) < 1e-11 and p_value(spark, 0.5, 2) is None
     got = result(rk.rank_ic(frame(spark, cross_sections(), SCHEMA), p_values=True), "date")
     assert got.p_value[0] == 0 and np.isnan(got.p_value[2]) and got.p_value.dropna().between(0, 1).all()
