@@ -92,7 +92,7 @@ def concatenated(parts: list[np.ndarray], dtype) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(parts) if parts else np.zeros(0, dtype)), np.repeat(np.arange(len(parts)), sizes)
 
 
-def asked(chunks: DataFrame, question, schema: str, n_buckets: int) -> DataFrame:
+def asked(chunks: DataFrame, question, schema: str) -> DataFrame:
     """``question(chunk, rows)`` yields record batches with ``bucket`` and ``chunk`` and its packed hashes."""
 
     def ask(batches):

@@ -14,7 +14,6 @@ from __future__ import annotations
 import heapq
 import json
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 

@@ -94,7 +94,7 @@ def _live(chunks: DataFrame, text: str, doc_id: str, window: int, n_buckets: int
         live = np.repeat((best < 2) & ((size > 1) | (shared > 0)), size)
         return _by_chunk(rows, chunk[live], low[live])
 
-    answers = answered(asked(chunks, question, schema, n_buckets), answer, "chunk long, bucket long, keys binary", n_buckets)
+    answers = answered(asked(chunks, question, schema), answer, "chunk long, bucket long, keys binary", n_buckets)
     return answers
 
 
