@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions import ewm as ew
-from panelspark.functions.rolling import series
 from panelspark.operators import backtest as bt
 from panelspark.operators import features as ft
 from panelspark.operators import folds as cv
