@@ -1,6 +1,9 @@
 """DuckDB SQL of the text queries that SQL can express."""
 
+import re
+
 from .quality_rules import LEAST_DOCS, RATES, REACH
+from .secret_scan import ADDED, BASE, KINDS, MOST_OWNERS, MOST_REPOSITORIES, PLACEHOLDERS
 
 MIX = r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
@@ -94,4 +97,71 @@ left join f g on g.level = 1 and s.lang is not distinct from g.lang left join f
 """
 
 
-ORACLES = {"op1_decontamination": DECONTAMINATION, "op5_substring_dedup": SUBSTRINGS, "op8_quality_rules": _quality_rules(), "op10_mix": MIX}
+def _secrets() -> str:
+    """Matches of each kind from the gaps before them: a lazy gap and the pattern, over and over, place every match."""
+    parts = []
+    for number, (kind, (pattern, group, *least)) in enumerate({**BASE, **ADDED}.items()):
+        head, bar, tail = pattern.partition(")")
+        either = re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", head) + bar + tail  # (?i) would take letters beyond ASCII
+        p = {"assign": either, "hex": "[0-9a-f]{24,}"}.get(kind, pattern).replace("'", "''")
+        n_gap = f"(?s:(.*?))({p})"
+        parts.append(rf"""
+select row, source, doc_id, {number} as kind, u.gap, u.hit, u.i, regexp_extract(u.hit, '^(?:{p})', {group}) as value, {least[0] if least else 0} as least
+from (select row, source, doc_id, unnest(list_zip(regexp_extract_all(text, '{n_gap}', 1), regexp_extract_all(text, '{n_gap}', 2), range(1, 1 + len(regexp_extract_all(text, '{n_gap}', 1))))) as z from d) t,
+lateral (select z[1] as gap, z[2] as hit, z[3] as i) u""")
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    bad = " or ".join(f"contains(lower(value), '{p}')" for p in PLACEHOLDERS)
+    n_base, opaque = len(BASE), KINDS.index("opaque")
+    return rf"""
+with d as (select row_number() over () as row, doc_id, source, coalesce(text, '') as text from documents),
+raw as ({" union all ".join(parts)}),
+pos as (select *, sum(length(gap) + length(hit)) over (partition by row, kind order by i) as stop from raw),
+every as (select row, source, doc_id, kind, (stop - length(hit))::bigint as start, stop::bigint as stop, value from pos where length(value) >= least),
+m as (select * from every where kind < {n_base} or not exists (
+        select 1 from every b where b.row = every.row and b.kind < case when every.kind = {opaque} then {opaque} else {n_base} end
+                                and b.start < every.stop and every.start < b.stop)),
+own as (select value, count(distinct coalesce('=' || source, '')) as n_owners, count(distinct coalesce('=' || doc_id, '')) as n_repositories from m group by value),
+j as (select m.*, n_owners > {MOST_OWNERS} or n_repositories > {MOST_REPOSITORIES} as copied,
+             not ({bad}) and len(list_distinct(string_split(value, ''))) >= least(10, length(value) * 2 // 3)
+             and (kind <> {opaque} or regexp_matches(value, '[a-z]') and regexp_matches(value, '[A-Z]') and regexp_matches(value, '[0-9]')) as live
+      from m join own using (value)),
+s as (select *, kind < {n_base} as base, kind >= {n_base} and live and not copied as added,
+        {names}[kind + 1] || ':' || start || ':' || stop as span from j),
+g as (select row, count_if(kind = 0) as n_assign, count_if(kind = 1) as n_access, count_if(kind = 2) as n_hex,
+             string_agg(span, ',' order by start, kind) filter (where base) as base, string_agg(span, ',' order by start, kind) filter (where base or added) as spans,
+             count_if(copied) as n_copied, count_if(live and not copied) as n_specific from s group by row)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_copied, 0)::bigint as n_copied, coalesce(n_specific, 0)::bigint as n_specific
+from d left join g using (row)
+"""
+
+
+PERIODIC_RUNS = r"""
+with recursive bits(v, c, k) as (select i, i, 0 from range(256) r(i) union all
+  select v, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+crc_table as (select v, c::bigint as c from bits where k = 8),
+crc(doc_id, s, i, c) as (select distinct doc_id, doc_id::varchar, 0, 4294967295::bigint from documents where doc_id is not null union all
+  select doc_id, s, i + 1, xor(crc.c >> 8, t.c) from crc join crc_table t on t.v = xor(crc.c, ord(substr(s, i + 1, 1))) & 255 where i < length(s)),
+h as (select doc_id, xor(c, 4294967295) as h from crc where i = length(s)),
+d as (select row_number() over () as row, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') as ws from documents),
+p as (select d.*, len(ws) as n, coalesce(h.h % 10 = 0, false) and len(ws) > 0 as hit, h.h // 10 as g from d left join h using (doc_id)),
+q as (select *, case when hit then g % n else 0 end as a, case when hit then 1 + (n - g % n) // (3 + g % 8) else 1 end as period from p),
+w as (select row, i, case when hit and i >= a then ws[1 + a + (i - a) % period] else ws[1 + i] end as w
+      from (select row, ws, hit, a, period, unnest(range(n)) as i from q)),
+e as (select x.row, x.i, y.i - x.i as d from w x join w y on x.row = y.row and x.w = y.w and x.i < y.i),
+f as (select row, d, min(i) as start, count(*) + d as length
+      from (select *, i - row_number() over (partition by row, d order by i) as k from e) group by row, d, k),
+r as (select row, start, length, min(d) as period from f where length >= greatest(12, 2 * d) group by row, start, length),
+gone as (select distinct row, unnest(range(start + period, start + length)) as i from r),
+kept as (select row, string_agg(w, ' ' order by i) as text from w anti join gone using (row, i) group by row),
+b as (select row, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs,
+             first({'start': start, 'length': length, 'period': period} order by length desc, start, period) as l from r group by row)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, l.start::bigint as start, l.length::bigint as length, l.period::bigint as period,
+       (1000 * l.length // l.period)::bigint as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(text, '')) as collapsed_sha256
+from d left join b using (row) left join kept using (row)
+"""
+
+
+ORACLES = {"op1_decontamination": DECONTAMINATION, "op5_substring_dedup": SUBSTRINGS, "op8_quality_rules": _quality_rules(), "op10_mix": MIX,
+           "op11_secrets": _secrets(), "op13_periodic_runs": PERIODIC_RUNS}

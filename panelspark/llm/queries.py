@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html_text, lm_scoring, mixing, quality_model, quality_rules, simhash, substrings, tokens, url_rules
+from . import (
+    decontamination, html_text, lm_scoring, mixing, periodic_runs, quality_model, quality_rules, secret_scan, simhash, substrings, token_alignment,
+    tokens, url_rules)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +75,32 @@ def op10_mix(spark, sf_dir):
     return mixed.select("doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_main_text, op4_token_counts, op5_substring_dedup, op6_simhash, op7_url_rules, op8_quality_rules, op9_lm_score, op10_mix)}
+def op11_secrets(spark, sf_dir):
+    """Secrets in every document: those of the base patterns and those that belong to one source alone."""
+    found = secret_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", *(secret_scan.n_of(k).alias(f"n_{k}") for k in secret_scan.BASE), F.sha2(secret_scan.base_spans(), 256).alias("base_sha256"),
+                        secret_scan.all_spans().alias("spans"), "n_copied", "n_specific")
+
+
+def op12_token_alignment(spark, sf_dir):
+    """Alignment of every document's tokens by a byte-level and by a piece vocabulary."""
+    return token_alignment.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"), tokens.vocabulary_path("byte_bpe_50k.json"),
+                                   tokens.vocabulary_path("piece_bpe_32k.model"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    """Periodic runs of words in every document, after one document in ten was made periodic."""
+    found = periodic_runs.collapsed(table(spark, sf_dir, "documents"), rearranged=periodic_runs.planted)
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("short"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length")))), 1)
+    written = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
+    best = found.withColumn("r", F.when(F.size("runs") > 0, longest))
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "r.start", "r.length", "r.period",
+                       F.expr("1000 * r.length div r.period").alias("exponent_milli"), F.sha2(written, 256).alias("runs_sha256"),
+                       F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_decontamination, op2_quality, op3_main_text, op4_token_counts, op5_substring_dedup, op6_simhash, op7_url_rules, op8_quality_rules, op9_lm_score,
+    op10_mix, op11_secrets, op12_token_alignment, op13_periodic_runs)}

@@ -11,11 +11,12 @@ from panelspark.llm.queries import QUERIES
 from llm import test_text_html, test_text_lm as lm, test_text_simhash as simhash, test_text_urls as urls
 from panelspark.llm import html_text, tokens
 
-WITHOUT_SQL = {"op2_quality", "op3_main_text", "op4_token_counts", "op6_simhash", "op7_url_rules", "op9_lm_score"}
+WITHOUT_SQL = {"op2_quality", "op3_main_text", "op4_token_counts", "op6_simhash", "op7_url_rules", "op9_lm_score",
+               "op12_token_alignment"}
 COLUMNS = {
     "op2_quality": "doc_id held_out score predicted", "op3_main_text": "page_id url text n_chars", "op4_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op6_simhash": "doc_id fingerprint component_id", "op7_url_rules": "page_id host path rule verdict",
-    "op9_lm_score": "doc_id held_out n_tokens n_known train_tokens base_score score"}
+    "op9_lm_score": "doc_id held_out n_tokens n_known train_tokens base_score score", "op12_token_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256"}
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +31,7 @@ def table(spark, name):
 def test_registry():
     assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
     assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
