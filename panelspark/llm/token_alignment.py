@@ -11,9 +11,12 @@ a chunk with their counts are rows that Spark adds up over the corpus, and the t
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
+from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from .words import blocks
 #: Text bytes of a chunk, and distinct pieces and their characters that a task remembers; a full memory ends the chunk.
 CHUNK_BYTES, REMEMBERED, REMEMBERED_CHARS = 16 << 20, 500_000, 64 << 20
 #: Characters that go to the libraries in one call.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 
 _PER_TEXT = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -53,21 +56,28 @@ class ByteLevel:
         alphabet = byte_alphabet()
         self.decoded = {i: bytes(map(alphabet.__getitem__, t)) for t, i in self.library.get_vocab(with_added_tokens=False).items()
                         if set(t) <= alphabet.keys()}
+        self.sizes = _sizes(self.decoded)
         self.cuts = _starts_words_at_spaces(path)
 
     def __call__(self, pieces: list[str]):
-        """Ids per piece (one array, counts), coarse end of each token in bytes of the pieces with a space before each, and trust."""
+        """Ids, number of them per piece, coarse end of each token in bytes of the pieces with a space before each, and trust."""
         found = self.library.encode_batch([" " + p for p in pieces], add_special_tokens=False)
         ids = [e.ids for e in found]
-        counts = np.array([len(x) for x in ids], np.int64)
-        spans = np.array([s for e in found for s in e.offsets], np.int64).reshape(-1, 2)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in found)), np.int64, 2 * counts.sum()).reshape(-1, 2)
         data = np.frombuffer("".join(" " + p for p in pieces).encode(), np.uint8)
         heads = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]  # first byte of each character
         chars = np.r_[0, np.cumsum([len(p) + 1 for p in pieces])]
         base = np.repeat(chars[:-1], counts)
         begin, end = spans[:, 0] + base, spans[:, 1] + base
         trusted = np.r_[begin[1:] >= end[:-1], True][:len(end)]  # the next token shares no character
-        return ids, counts, heads[end], trusted
+        return np.fromiter(chain.from_iterable(ids), np.int64, counts.sum()), counts, heads[end], trusted
+
+
+def _sizes(decoded: dict[int, bytes]) -> np.ndarray:
+    sizes = np.zeros(max(decoded) + 1, np.int64)
+    sizes[list(decoded)] = list(map(len, decoded.values()))
+    return sizes
 
 
 class Pieces:
@@ -81,18 +91,17 @@ class Pieces:
         names = [self.library.id_to_piece(i) for i in range(n)]
         self.is_byte = np.array([self.library.is_byte(i) for i in range(n)])
         self.decoded = {i: bytes([int(p[3:5], 16)]) if self.is_byte[i] else p.replace("▁", " ").encode() for i, p in enumerate(names)}
+        self.sizes = _sizes(self.decoded)
         probe = "a  b ﬁ\n"
         kept = b"".join(self.decoded[i] for i in self.library.encode(probe)) == (" " + probe).encode()
         self.cuts = kept and not any("▁" in p.lstrip("▁") for p in names)
 
     def __call__(self, pieces: list[str]):
-        found = self.library.encode(pieces, return_type="proto", num_threads=1)
-        ids = [[t.id for t in p.pieces] for p in found]
-        counts = np.array([len(x) for x in ids], np.int64)
-        end = np.array([t.end for p in found for t in p.pieces], np.int64)
+        found = [p.pieces for p in self.library.encode(pieces, return_type="proto", num_threads=1)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        spans = np.fromiter((x for tokens in found for t in tokens for x in (t.id, t.end)), np.int64, 2 * counts.sum()).reshape(-1, 2)
         before = np.r_[0, np.cumsum([len(p.encode()) + 1 for p in pieces])]
-        flat = np.fromiter((i for x in ids for i in x), np.int64, counts.sum())
-        return ids, counts, end + 1 + np.repeat(before[:-1], counts), ~self.is_byte[flat]
+        return spans[:, 0], counts, spans[:, 1] + 1 + np.repeat(before[:-1], counts), ~self.is_byte[spans[:, 0]]
 
 
 @lru_cache(maxsize=4)
@@ -114,6 +123,18 @@ def refined(coarse: np.ndarray, trusted: np.ndarray, length: np.ndarray, start:
     return np.where(trusted, coarse, base + since)
 
 
+@contextmanager
+def _no_garbage():
+    """Millions of short-lived tuples without cycles: counting references frees them, searching for cycles takes a quarter of the time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Aligner:
     """Aligned pieces, remembered by their text."""
 
@@ -136,35 +157,32 @@ class Aligner:
 
     def learn(self, pieces: set[str]) -> None:
         batch, size = [], 0
-        for piece in pieces:
-            batch.append(piece)
-            size += len(piece) + 1
-            if size >= BATCH_CHARS:
+        with _no_garbage():
+            for piece in pieces:
+                batch.append(piece)
+                size += len(piece) + 1
+                if size >= BATCH_CHARS:
+                    self._align(batch)
+                    batch, size = [], 0
+            if batch:
                 self._align(batch)
-                batch, size = [], 0
-        if batch:
-            self._align(batch)
 
     def _align(self, pieces: list[str]) -> None:
         first = len(self.known)
         self.known.update(zip(pieces, range(first, first + len(pieces))))
         self.chars += sum(map(len, pieces))
-        ids_a, n_a, end_a, trusted_a = self.a(pieces)
-        ids_b, n_b, end_b, trusted_b = self.b(pieces)
         wanted = [b" " + p.encode() for p in pieces]
-        good = np.array([b"".join(map(self.a.decoded.__getitem__, x)) == w == b"".join(map(self.b.decoded.__getitem__, y))
-                         for x, y, w in zip(ids_a, ids_b, wanted)])
-        size = np.array([len(w) for w in wanted], np.int64)
+        size = np.fromiter(map(len, wanted), np.int64, len(wanted))
         bounds = np.r_[0, np.cumsum(size)]
+        sides = [(side, *side(pieces)) for side in (self.a, self.b)]
+        good = np.logical_and(*(_keeps(ids, counts, side, wanted, size) for side, ids, counts, _, _ in sides))
         flat, ends, owner = [], [], []
-        for ids, counts, coarse, trusted, decoded in ((ids_a, n_a, end_a, trusted_a, self.a.decoded), (ids_b, n_b, end_b, trusted_b, self.b.decoded)):
+        for side, ids, counts, coarse, trusted in sides:
             own = np.repeat(np.arange(len(pieces)), counts)
             use = good[own]
-            all_ids = np.fromiter((i for x in ids for i in x), np.int64, counts.sum())[use]
             own = own[use]
-            length = np.fromiter((len(decoded[i]) for i in all_ids.tolist()), np.int64, len(all_ids))
-            flat.append(all_ids)
-            ends.append(refined(coarse[use], trusted[use], length, bounds[own]))
+            flat.append(ids[use])
+            ends.append(refined(coarse[use], trusted[use], side.sizes[ids[use]], bounds[own]))
             owner.append(own)
         (a, b), (ea, eb), (oa, ob) = flat, ends, owner
         sa = np.r_[0, ea[:-1]][:len(ea)]
@@ -177,7 +195,7 @@ class Aligner:
         cut_a, cut_b = np.isin(ea, eb, assume_unique=True), np.isin(eb, ea, assume_unique=True)
         n_links = per(oa, n_over)
         self.parts.append((good, per(oa), per(ob), per(oa[cut_a]), n_links, codes))
-        self.groups += _written(pieces, a, b, oa, ob, cut_a, cut_b)
+        self.groups += _written(len(pieces), a, b, oa, cut_a, cut_b)
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per piece: goodness and the counts; the links of all pieces (``a << 32 | b``), one piece after the other, and their bounds."""
@@ -186,17 +204,27 @@ class Aligner:
         return good, counts, np.concatenate([p[5] for p in self.parts]), np.r_[0, np.cumsum(counts[3])]
 
 
-def _written(pieces, a, b, oa, ob, cut_a, cut_b) -> list[str]:
+def _keeps(ids: np.ndarray, counts: np.ndarray, side, wanted: list[bytes], size: np.ndarray) -> np.ndarray:
+    """Whether the decoded tokens of each piece are its bytes."""
+    found = b"".join(map(side.decoded.__getitem__, ids.tolist()))
+    ends = np.r_[0, np.cumsum(side.sizes[ids])][np.r_[0, np.cumsum(counts)]]
+    if found == b"".join(wanted) and (np.diff(ends) == size).all():
+        return np.ones(len(wanted), bool)
+    return np.fromiter((found[lo:hi] == w for lo, hi, w in zip(ends.tolist(), ends[1:].tolist(), wanted)), bool, len(wanted))
+
+
+def _written(n_pieces: int, a: np.ndarray, b: np.ndarray, oa: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> list[str]:
     """``a1,a2|b1;a3|b2`` for each piece."""
-    sa, sb = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    ends_a, ends_b = (np.flatnonzero(cut_a) + 1).tolist(), (np.flatnonzero(cut_b) + 1).tolist()
-    owner = oa[cut_a].tolist()
-    out: list[list[str]] = [[] for _ in pieces]
-    i = j = 0
-    for who, x, y in zip(owner, ends_a, ends_b):
-        out[who].append((sa[i] if x == i + 1 else ",".join(sa[i:x])) + "|" + (sb[j] if y == j + 1 else ",".join(sb[j:y])))
-        i, j = x, y
-    return [";".join(x) for x in out]
+    end_a, end_b = np.flatnonzero(cut_a) + 1, np.flatnonzero(cut_b) + 1
+    first_a, first_b = np.r_[0, end_a[:-1]][:len(end_a)], np.r_[0, end_b[:-1]][:len(end_b)]
+    out = [f"{x}|{y}" for x, y in zip(a[first_a].tolist(), b[first_b].tolist())]  # most groups have one token on either side
+    more = np.flatnonzero((end_a - first_a > 1) | (end_b - first_b > 1))
+    bounds = [x[more].tolist() for x in (first_a, end_a, first_b, end_b)]
+    ids_a, ids_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+    for k, i, x, j, y in zip(more.tolist(), *bounds):
+        out[k] = ",".join(ids_a[i:x]) + "|" + ",".join(ids_b[j:y])
+    of = np.searchsorted(oa[cut_a], np.arange(n_pieces + 1)).tolist()
+    return [";".join(out[lo:hi]) for lo, hi in zip(of, of[1:])]
 
 
 def _read(batches, path_a: str, path_b: str, most_bytes: int):
