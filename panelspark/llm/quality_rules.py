@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .columns import quoted, set_aside
+from .columns import set_aside
 from .store import stored
 from .words import blocks, groups, hashes, mixed, not_white, split, windows
 
@@ -26,6 +26,8 @@ RATES = {"word_length": (True, 30), "symbol_rate": (False, 20), "duplicate_line_
 REACH = 4
 #: Groups of fewer documents take the fences of their language, and small languages those of all documents.
 LEAST_DOCS = 30
+#: Up to so many groups of language and source are sent to all tasks; more are joined by a shuffle.
+MOST_FENCES = 100_000
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -63,20 +65,20 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
             "n_lines": per_row(line_row)}
 
 
-def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns but the text and those with the names of counts, then the counts."""
+def with_counts(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """All columns but those with the names of counts, then the counts; the text only if it is kept."""
     rows = docs.drop(*(c for c in _COUNTS if c in docs.columns)).withColumnRenamed(text, "_text")
     rest = [c for c in rows.columns if c != "_text"]
     rows = rows.select(*rest, "_text")
-    schema = rows.drop("_text").withColumns({c: F.lit(0).cast("long") for c in _COUNTS}).schema
+    schema = (rows if keep_text else rows.drop("_text")).withColumns({c: F.lit(0).cast("long") for c in _COUNTS}).schema
+    n_kept = len(rest) + keep_text
 
     def count(batches):
         for block in blocks(batches, "_text"):
             counts = text_counts(block.column(block.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*block.columns[:-1], *(pa.array(counts[c]) for c in _COUNTS)],
-                                             [*block.schema.names[:-1], *_COUNTS])
+            yield pa.RecordBatch.from_arrays([*block.columns[:n_kept], *(pa.array(counts[c]) for c in _COUNTS)], schema.fieldNames())
 
-    return rows.mapInArrow(count, schema)
+    return rows.mapInArrow(count, schema).withColumnRenamed("_text", text)
 
 
 def with_rates(counts: DataFrame) -> DataFrame:
@@ -143,19 +145,33 @@ def judged(docs: DataFrame, text: str = "text", reach: int = REACH, least_docs:
     left to judge. Equal rows are judged alike. Columns of the input with the names of results are replaced.
     """
     aside = set_aside(docs, {"lang": "lang", "source": "source", "text": text})
-    rated = stored(with_rates(with_counts(aside.rows)).withColumn("base_failed", base_failed()))
-    fence = fences(quantiles(sketches(rated.where(~F.col("base_failed")))), reach, least_docs)
+    rated = stored(_rated(aside.rows))
+    return aside.back(_with_verdict(rated, _fence_table(rated, reach, least_docs)), (*_COUNTS, *RATES, "base_failed", "kept"), without=(text,))
+
+
+def _rated(rows: DataFrame, keep_text: bool = False) -> DataFrame:
+    return with_rates(with_counts(rows, keep_text=keep_text)).withColumn("base_failed", base_failed())
+
+
+def _fence_table(rated: DataFrame, reach: int, least_docs: int) -> DataFrame:
+    return fences(quantiles(sketches(rated.where(~F.col("base_failed")))), reach, least_docs)
+
+
+def _with_verdict(rated: DataFrame, fence: DataFrame) -> DataFrame:
+    """``rated`` with ``kept``, by the fences of each row's language and source."""
     joined = rated.join(fence, F.col("lang").eqNullSafe(F.col("lang0")) & F.col("source").eqNullSafe(F.col("source0")), "left")
     inside = reduce(lambda a, b: a & b, [F.col(r).between(F.col(f"fence.{r}_low"), F.col(f"fence.{r}_high")) for r in RATES])
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return aside.back(joined.withColumn("kept", kept), (*_COUNTS, *RATES, "base_failed", "kept"), without=(text,))
-
-
-def passing(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns. A row is found again by a hash of its text, lang and source."""
-    key = F.struct(
-        F.xxhash64(quoted(text), "lang", "source", F.isnull("lang"), F.isnull("source")).alias("a"), F.md5(F.coalesce(quoted(text), F.lit(""))).alias("b"))
-    aside = set_aside(docs, {"lang": "lang", "source": "source", "text": text}, key=key)
-    failed = judged(aside.rows.select("lang", "source", "text", "key"), **options).where(~F.col("kept"))
-    bad = failed.select(F.col("key").alias("bad")).distinct()
-    return aside.back(aside.rows.join(bad, F.col("key") == F.col("bad"), "left_anti"))
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
+
+
+def passing(docs: DataFrame, text: str = "text", reach: int = REACH, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns.
+
+    One pass takes the counts that the fences come from, a second one counts again with the text at hand: texts stay in place, and only the fences are
+    joined, by broadcast up to MOST_FENCES groups.
+    """
+    aside = set_aside(docs, {"lang": "lang", "source": "source", "text": text})
+    rated = _rated(aside.rows.select("lang", "source", "text"))
+    fence = stored(_fence_table(stored(rated.select("lang", "source", *RATES, "base_failed")), reach, least_docs))
+    fence = F.broadcast(fence) if fence.count() <= MOST_FENCES else fence
+    return aside.back(_with_verdict(_rated(aside.rows, keep_text=True), fence).where("kept"))

@@ -28,9 +28,11 @@ from .tokens import SAFE, _starts_words_at_spaces
 from .words import blocks
 
 #: Text bytes of a chunk, and distinct pieces and their characters that a task remembers; a full memory ends the chunk.
-CHUNK_BYTES, REMEMBERED, REMEMBERED_CHARS = 16 << 20, 500_000, 64 << 20
+CHUNK_BYTES, REMEMBERED, REMEMBERED_CHARS = 16 << 20, 400_000, 48 << 20
 #: Characters that go to the libraries in one call.
 BATCH_CHARS = 1 << 18
+#: Pieces between spaces that a library gets as one text.
+LINE = 20
 
 _PER_TEXT = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -99,9 +101,10 @@ class Pieces:
     def __call__(self, pieces: list[str]):
         found = [p.pieces for p in self.library.encode(pieces, return_type="proto", num_threads=1)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        spans = np.fromiter((x for tokens in found for t in tokens for x in (t.id, t.end)), np.int64, 2 * counts.sum()).reshape(-1, 2)
+        tokens = [t for p in found for t in p]
+        ids, end = np.array([t.id for t in tokens], np.int64), np.array([t.end for t in tokens], np.int64)
         before = np.r_[0, np.cumsum([len(p.encode()) + 1 for p in pieces])]
-        return spans[:, 0], counts, spans[:, 1] + 1 + np.repeat(before[:-1], counts), ~self.is_byte[spans[:, 0]]
+        return ids, counts, end + 1 + np.repeat(before[:-1], counts), ~self.is_byte[ids]
 
 
 @lru_cache(maxsize=4)
@@ -168,22 +171,25 @@ class Aligner:
                 self._align(batch)
 
     def _align(self, pieces: list[str]) -> None:
+        if self.cuts:  # pieces between spaces stand after one another in lines, as they would in a text
+            plain = [p for p in pieces if not (p[:1].isspace() or p[-1:].isspace())]
+            odd = [p for p in pieces if p[:1].isspace() or p[-1:].isspace()]
+            pieces, lines = plain + odd, [" ".join(plain[i:i + LINE]) for i in range(0, len(plain), LINE)] + odd
+        else:
+            lines = pieces
         first = len(self.known)
         self.known.update(zip(pieces, range(first, first + len(pieces))))
         self.chars += sum(map(len, pieces))
         wanted = [b" " + p.encode() for p in pieces]
-        size = np.fromiter(map(len, wanted), np.int64, len(wanted))
-        bounds = np.r_[0, np.cumsum(size)]
-        sides = [(side, *side(pieces)) for side in (self.a, self.b)]
-        good = np.logical_and(*(_keeps(ids, counts, side, wanted, size) for side, ids, counts, _, _ in sides))
-        flat, ends, owner = [], [], []
-        for side, ids, counts, coarse, trusted in sides:
-            own = np.repeat(np.arange(len(pieces)), counts)
-            use = good[own]
-            own = own[use]
-            flat.append(ids[use])
-            ends.append(refined(coarse[use], trusted[use], side.sizes[ids[use]], bounds[own]))
-            owner.append(own)
+        bounds = np.r_[0, np.cumsum(np.fromiter(map(len, wanted), np.int64, len(wanted)))]
+        of_line = np.r_[0, np.cumsum(np.fromiter((len(x.encode()) + 1 for x in lines), np.int64, len(lines)))]
+        sides = []
+        for side in (self.a, self.b):
+            ids, counts, coarse, trusted = side(lines)
+            end = refined(coarse, trusted, side.sizes[ids], of_line[np.repeat(np.arange(len(lines)), counts)])
+            sides.append((side, ids, end, np.searchsorted(bounds, end, "left") - 1))
+        good = np.logical_and(*(_keeps(ids, own, side, wanted) for side, ids, _, own in sides))
+        flat, ends, owner = zip(*((ids[good[own]], end[good[own]], own[good[own]]) for _, ids, end, own in sides))
         (a, b), (ea, eb), (oa, ob) = flat, ends, owner
         sa = np.r_[0, ea[:-1]][:len(ea)]
         sa = np.where(np.r_[True, oa[1:] != oa[:-1]][:len(oa)], bounds[oa], sa)  # skipped pieces leave gaps
@@ -204,13 +210,14 @@ class Aligner:
         return good, counts, np.concatenate([p[5] for p in self.parts]), np.r_[0, np.cumsum(counts[3])]
 
 
-def _keeps(ids: np.ndarray, counts: np.ndarray, side, wanted: list[bytes], size: np.ndarray) -> np.ndarray:
+def _keeps(ids: np.ndarray, own: np.ndarray, side, wanted: list[bytes]) -> np.ndarray:
     """Whether the decoded tokens of each piece are its bytes."""
     found = b"".join(map(side.decoded.__getitem__, ids.tolist()))
-    ends = np.r_[0, np.cumsum(side.sizes[ids])][np.r_[0, np.cumsum(counts)]]
-    if found == b"".join(wanted) and (np.diff(ends) == size).all():
+    size = np.bincount(own, side.sizes[ids], len(wanted)).astype(np.int64)
+    if found == b"".join(wanted) and size.tolist() == list(map(len, wanted)):
         return np.ones(len(wanted), bool)
-    return np.fromiter((found[lo:hi] == w for lo, hi, w in zip(ends.tolist(), ends[1:].tolist(), wanted)), bool, len(wanted))
+    ends = np.r_[0, np.cumsum(size)].tolist()
+    return np.fromiter((found[lo:hi] == w for lo, hi, w in zip(ends, ends[1:], wanted)), bool, len(wanted))
 
 
 def _written(n_pieces: int, a: np.ndarray, b: np.ndarray, oa: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> list[str]:
