@@ -84,7 +84,7 @@ def dedupe_first(spark, d):
     rows = src.table(spark, d, "lineitem").select(
         src.supplier_ticker().alias("ticker"), F.to_date("l_shipdate").alias("date"),
         src.price().alias("price"), "l_quantity", *src.ORDER)
-    return rounded(sb.dedupe_first(rows, src.ORDER).select("ticker", "date", "price", "l_quantity"))
+    return rounded(sb.dedupe_first(rows, src.DAY_ORDER, digits=src.DAY_DIGITS).select("ticker", "date", "price", "l_quantity"))
 
 
 @query

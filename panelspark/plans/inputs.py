@@ -17,6 +17,8 @@ from panelspark.storage import materialize
 MARKET = "MKT"
 ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 DAY_ORDER = ORDER[1:]  # inside one day
+#: Digits of the orders' values: 10**13 orders, 10**12 parts, 10**11 suppliers; days are counted from the week's first one.
+DAY_DIGITS, WEEK_DIGITS = (13, 2, 12, 11), (1, 13, 2, 12, 10)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +35,7 @@ def supplier_ticker(key="l_suppkey"):
 
 def daily_bars(spark, sf_dir, start=None, end=None, composite=MARKET) -> DataFrame:
     rows = date_range(table(spark, sf_dir, "lineitem"), start, end, "l_shipdate")
-    return build_bars(rows, supplier_ticker(), F.to_date("l_shipdate"), price(), "l_quantity", DAY_ORDER, composite, "l_suppkey")
+    return build_bars(rows, supplier_ticker(), F.to_date("l_shipdate"), price(), "l_quantity", DAY_ORDER, composite, "l_suppkey", DAY_DIGITS)
 
 
 def stored_bars(spark, sf_dir) -> DataFrame:
@@ -46,13 +48,14 @@ def weekly_bars(spark, sf_dir, composite=MARKET) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     rows = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     week = F.to_date(F.date_trunc("week", "l_shipdate"))
-    return build_bars(rows, F.col("p_brand"), week, price(), "l_quantity", ORDER, composite)
+    order = [F.date_diff("l_shipdate", week), *DAY_ORDER]
+    return build_bars(rows, F.col("p_brand"), week, price(), "l_quantity", order, composite, digits=WEEK_DIGITS)
 
 
 def user_bars(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("__one", F.lit(1.0))
     return build_bars(rows, F.concat(F.lit("U"), F.col("user_id").cast("string")), F.to_date("ts"), "value",
-                      "__one", ["ts", "event_id"])
+                      "__one", [F.unix_micros(F.col("ts").cast("timestamp")), "event_id"], digits=(18, 19))
 
 
 def holey_bars(spark, sf_dir) -> DataFrame:
@@ -60,7 +63,7 @@ def holey_bars(spark, sf_dir) -> DataFrame:
     nothing else has null prices."""
     rows = table(spark, sf_dir, "lineitem")
     kept = F.when(F.col("l_returnflag") != "R", price())
-    return build_bars(rows, supplier_ticker(), F.to_date("l_shipdate"), kept, "l_quantity", DAY_ORDER, key="l_suppkey")
+    return build_bars(rows, supplier_ticker(), F.to_date("l_shipdate"), kept, "l_quantity", DAY_ORDER, key="l_suppkey", digits=DAY_DIGITS)
 
 
 def supplier_universe(spark, sf_dir) -> DataFrame:

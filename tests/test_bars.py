@@ -140,3 +140,31 @@ def test_corrupt_files_fail_or_are_skipped_on_request(spark, tmp_path):
     assert got.select("ticker").distinct().count() == 2
     asked = spark.createDataFrame([(t,) for t in "ABCDA"], "ticker string")
     assert sorted(r.ticker for r in sb.missing_tickers(asked, got).collect()) == ["C", "D"]
+
+
+def test_packed_orders_sort_as_tuples(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, 0, 1, 9, 99998]), rng.choice([None, 0, 7, 10**15]), rng.randrange(3)) for i in range(300)]
+    df = frame(spark, rows, "i long, a long, b long, c int").select("i", sb.packed_order(["a", "b", "c"], (5, 18, 1)).alias("k"))
+    got = {r.i: r.k for r in df.collect()}
+    key = lambda r: tuple(-1 if v is None else v for v in r[1:])
+    for x, y in zip(rows, rows[1:]):
+        assert (got[x[0]] < got[y[0]]) == (key(x) < key(y)) and (got[x[0]] == got[y[0]]) == (key(x) == key(y))
+
+
+@pytest.mark.parametrize("value", [-1, 99, 10**18])
+def test_values_beyond_their_digits_fail(spark, value):
+    with pytest.raises(Exception, match="order value beyond 2 digits"):
+        frame(spark, [(value,)], "a long").select(sb.packed_order(["a"], (2,))).collect()
+
+
+def test_packed_bars_equal_sorted_ones(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"T{rng.randrange(3)}", day("2024-01-01"), rng.choice([None, rng.random()]), 1.0, i // 3, i % 3) for i in range(200)]
+    df = frame(spark, rows, "t string, d date, p double, v double, i long, j long")
+    bars = [result(sb.build_bars(df, "t", "d", "p", "v", ["i", "j"], "ALL", digits=n), "ticker") for n in (None, (19, 19))]
+    assert bars[0].equals(bars[1])

@@ -77,3 +77,11 @@ def test_one_scan_for_labels_and_no_nested_loops_over_the_panel(spark, data):
         assert "lineitem" not in plan(QUERIES[name](spark, data))  # bars are stored, then read twice
     for name in ("purged_folds_date", "fold_leakage"):
         assert "NestedLoop" not in plan(QUERIES[name](spark, data))
+
+
+def test_bars_are_built_without_a_sort(spark, data):
+    from panelspark.plans.catalog import QUERIES
+
+    for name in ("bars_daily", "bars_weekly", "bars_users", "dedupe_first"):
+        text = plan(QUERIES[name](spark, data))
+        assert "HashAggregate" in text and "SortAggregate" not in text and "ObjectHashAggregate" not in text
