@@ -1,15 +1,12 @@
 """Ranks inside a group (a date's cross-section) that do not need the group to fit in one task.
 
-A date can hold any number of names, so ``row_number().over(partitionBy(date))`` would put a large
-date into one task. Here each group is first cut into value buckets. The cut points are the values
-of a hash sample of about one row in ``split_rows``, so a small group has none and stays whole and a
-large one is cut into pieces of about ``split_rows`` rows. The sample depends on row content only,
-hence every evaluation of the plan (and every re-run after a lost executor) cuts at the same points.
-Positions are then counted inside a bucket and shifted by the sizes of the buckets before it.
-
-With average ranks, equal values must share a rank. Each cut value gets a bucket of its own whose
-common rank follows from counts alone; its rows are salted over many tasks, so a value that fills a
-third of the table is no hot spot.
+A date can hold any number of names, so ``row_number().over(partitionBy(date))`` would put a large date into one task.
+Here rows are range-partitioned once by (group, value, tie-break) and stored with the number of their piece. Pieces follow
+one another, so a row's rank is its place in the piece plus the rows of the group in earlier pieces, which the stored pieces'
+counts tell. Equal values are spread by their tie-break, so a value that fills a third of the table is no hot spot.
+
+With average ranks equal values share a rank. Only a piece's largest value can go on in the next piece; the few values that do
+get their common rank from counts.
 """
 
 from functools import reduce
@@ -17,29 +14,48 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLIT_ROWS = 1 << 20
-SALTS = 64
-
+from panelspark.storage import materialize
 
-def _count_below(cuts: Column, value: Column, strict: bool) -> Column:
-    """How many sorted cut points are below ``value`` (or not above it), by binary search."""
-    size = F.size(cuts)
-    start = F.struct(F.lit(0).alias("lo"), size.alias("hi"))
-
-    def halve(acc, _):
-        mid = (acc["lo"] + acc["hi"]) / F.lit(2)
-        mid = F.floor(mid).cast("int")
-        probe = F.get(cuts, mid)
-        right = (probe < value) if strict else (probe <= value)
-        done = acc["lo"] >= acc["hi"]
-        return F.struct(
-            F.when(done | ~right, acc["lo"]).otherwise(mid + 1).alias("lo"),
-            F.when(done | right, acc["hi"]).otherwise(mid).alias("hi"),
-        )
-
-    rounds = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
-    found = F.aggregate(rounds, start, halve, lambda acc: acc["lo"])
-    return F.when(cuts.isNull(), F.lit(0)).otherwise(found)
+#: Rows of a piece, about.
+SPLIT_ROWS = 1 << 20
+#: Tables of up to so many rows are sent to all tasks: one row per piece and group. Larger ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, stored, to be sent to all tasks if its size allows."""
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _pieces(df: DataFrame, groups, order, ties, split_rows) -> DataFrame:
+    """``df`` in pieces by (group, value, tie-break), stored, with the number of the piece as ``__piece``."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // split_rows))
+    spread = ties or [F.xxhash64(*df.columns)]
+    return materialize(df.repartitionByRange(n, *groups, order, *spread).withColumn("__piece", F.spark_partition_id()))
+
+
+def _ranked(df: DataFrame, groups, order, name, average, ties, split_rows) -> DataFrame:
+    rows = _pieces(df, groups, order, ties, split_rows)
+    keys = [*groups, "__piece"]
+    in_order = Window.partitionBy(*groups).orderBy("__piece")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__low"), F.max(order).alias("__high"))
+    sizes = _small(sizes.withColumns({"__before": F.coalesce(F.sum("__n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+                                      "__goes_on": F.coalesce(F.lead("__low").over(in_order) == F.col("__high"), F.lit(False))}))
+    placed = rows.join(sizes.select(*keys, "__before"), keys)
+    local = Window.partitionBy(*keys).orderBy(order, *([] if average else ties))
+    if not average:
+        return placed.withColumn(name, (F.col("__before") + F.row_number().over(local)).cast("long")).select(*df.columns, name)
+    # first and last place of a run of equal values: the default frame ends at the last tie
+    here = F.col("__before") + (F.rank().over(local) + F.count(F.lit(1)).over(local)) / F.lit(2.0)
+    # runs over several pieces: they start where their first piece ends
+    runs = _small(sizes.where("__goes_on").groupBy(*groups, F.col("__high").alias(order)).agg(
+        F.min(F.col("__before") + F.col("__n")).alias("__upto"), F.min("__piece").alias("__first")))
+    counts = rows.join(runs, [*groups, order]).groupBy(*groups, order, "__upto").agg(
+        F.count(F.lit(1)).alias("__all"), F.count_if(F.col("__piece") == F.col("__first")).alias("__there"))
+    shared = _small(counts.select(*groups, order, (F.col("__upto") - F.col("__there") + (F.col("__all") + 1) / F.lit(2.0)).alias("__shared")))
+    placed = placed.join(shared, [*groups, order], "left")
+    return placed.withColumn(name, F.coalesce(F.col("__shared"), here)).select(*df.columns, name)
 
 
 def group_ranks(df: DataFrame, group, ranks: dict, method: str = "first", tiebreak=None,
@@ -48,67 +64,17 @@ def group_ranks(df: DataFrame, group, ranks: dict, method: str = "first", tiebre
 
     method "first": ties are ordered by ``tiebreak`` (columns that make a row unique in its group); the
     rank is a position. method "average": equal values share the mean of their positions.
-    The ranked columns must not be null. ``df`` is read three times however many ranks are asked for;
-    materialize an expensive one first.
+    Groups and ranked columns must not be null. ``df`` is read a few times (its size, a sample, the rows); materialize an
+    expensive one first. Each rank costs one range exchange and one exchange of whole pieces.
     """
     if method not in ("first", "average"):
         raise ValueError(f"unknown rank method {method!r}")
     groups = [group] if isinstance(group, str) else list(group)
     ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak or [])
-    keep, items = df.columns, list(enumerate(ranks.items()))
-    first = method == "first"
-
-    def value(order):
-        return F.struct(F.col(order), *[F.col(c) for c in ties]) if first and ties else F.col(order)
-
-    def picked(i, order):
-        return F.pmod(F.xxhash64(*groups, *ties, order, F.lit(i)), F.lit(split_rows)) == 0
-
-    # About one cut point per split_rows rows: some 24 MB for a trillion rows.
-    any_pick = reduce(lambda x, y: x | y, [picked(i, order) for i, (_, order) in items])
-    cuts = df.filter(any_pick).groupBy(*groups).agg(*[
-        F.sort_array(F.collect_set(F.when(picked(i, order), value(order)))).alias(f"__cuts{i}")
-        for i, (_, order) in items
-    ])
-    rows = df.join(F.broadcast(cuts), groups, "left")
-    added = {}
-    for i, (_, order) in items:
-        points = F.col(f"__cuts{i}")
-        below = _count_below(points, value(order), strict=not first)
-        if first:
-            added[f"__bucket{i}"] = below
-            added[f"__salt{i}"] = F.lit(0)
-        else:
-            on_cut = F.coalesce(F.get(points, below) == F.col(order), F.lit(False))
-            spread = F.pmod(F.xxhash64(*groups, *ties, *[o for _, (_, o) in items]), F.lit(SALTS)).cast("int")
-            added[f"__bucket{i}"] = 2 * below + on_cut.cast("int")
-            added[f"__salt{i}"] = F.when(on_cut, spread).otherwise(0)
-    rows = rows.withColumns(added).drop(*[f"__cuts{i}" for i, _ in items])
-
-    tagged = F.array(*[F.struct(F.lit(i).alias("__which"), F.col(f"__bucket{i}").alias("__bucket")) for i, _ in items])
-    sizes = rows.select(*groups, F.inline(tagged)).groupBy(*groups, "__which", "__bucket") \
-        .agg(F.count(F.lit(1)).alias("__size"))
-    earlier = Window.partitionBy(*groups, "__which").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
-
-    for i, (name, order) in items:
-        local = Window.partitionBy(*groups, f"__bucket{i}", f"__salt{i}").orderBy(order, *(ties if first else []))
-        if first:
-            here = F.row_number().over(local)
-        else:
-            # first and last position of a run of equal values: the default frame ends at the last tie
-            here = (F.rank().over(local) + F.count(F.lit(1)).over(local)) / F.lit(2.0)
-        mine = offsets.filter(F.col("__which") == i).select(
-            *groups, F.col("__bucket").alias(f"__bucket{i}"), "__size", "__before")
-        rows = rows.withColumn("__local", here).join(F.broadcast(mine), [*groups, f"__bucket{i}"])
-        rank = F.col("__before") + F.col("__local")
-        if first:
-            rank = rank.cast("long")
-        else:
-            shared = F.col("__before") + (F.col("__size") + 1) / F.lit(2.0)
-            rank = F.when(F.col(f"__bucket{i}") % 2 == 1, shared).otherwise(rank)
-        rows = rows.withColumn(name, rank).drop("__local", "__size", "__before")
-    return rows.select(*keep, *ranks)
+    keep = df.columns
+    for name, order in ranks.items():
+        df = _ranked(df, groups, order, name, method == "average", ties, split_rows)
+    return df.select(*keep, *ranks)
 
 
 def group_rank(df: DataFrame, group, order, name: str, **options) -> DataFrame:

@@ -40,7 +40,7 @@ def test_fracdiff_is_one_exchange(bars):
 def test_no_window_spans_a_whole_date(bars):
     ranked = group_rank(bars.select("date", "ticker", "close"), "date", "close", "r", tiebreak="ticker")
     windows = re.findall(r"Window \[row_number.*?\], \[(.*?)\], \[", plan(ranked))
-    assert windows and all("__bucket" in w for w in windows)
+    assert windows and all("__piece" in w for w in windows)
     assert "CartesianProduct" not in plan(ranked)
 
 
@@ -85,3 +85,11 @@ def test_bars_are_built_without_a_sort(spark, data):
     for name in ("bars_daily", "bars_weekly", "bars_users", "dedupe_first"):
         text = plan(QUERIES[name](spark, data))
         assert "HashAggregate" in text and "SortAggregate" not in text and "ObjectHashAggregate" not in text
+
+
+def test_ranks_take_few_exchanges(spark, data):
+    from panelspark.plans.catalog import QUERIES
+
+    for name in ("rank_ic", "quantile_legs"):
+        text = plan(QUERIES[name](spark, data))
+        assert text.count("Exchange") <= 4 and text.count("FileScan") <= 4
