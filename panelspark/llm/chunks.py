@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .store import stored
-from .words import blocks, column_bytes
+from .words import blocks, column_bytes, give_back
 
 CHUNK_BYTES = 4 << 20
 #: Words of the corpus for each bucket of the hash space.
@@ -99,6 +99,7 @@ def asked(chunks: DataFrame, question, schema: str) -> DataFrame:
         for batch in batches:
             for chunk, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
                 yield from question(chunk, unpacked(rows))
+        give_back()
 
     return chunks.select("chunk", "rows").mapInArrow(ask, schema)
 
@@ -113,6 +114,7 @@ def met(chunks: DataFrame, answers: DataFrame, use, schema) -> DataFrame:
     """``use(chunk, rows, answers)`` gives a table per chunk, with the rows of the answers to that chunk."""
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()  # what the chunk before held
         return use(left.column("chunk")[0].as_py(), unpacked(left.column("rows")[0]), right)
 
     return chunks.select("chunk", "rows").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(each, schema)

@@ -7,7 +7,9 @@ a finishing mix, taken for all words of a block at once from running sums.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,19 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, and what they once held counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc(), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    return ctypes.CDLL(None)
+
+
 def blocks(batches, text: str = "text", limit: int = BLOCK_BYTES):
     """Slices of record batches whose texts have about ``limit`` bytes; a longer text stands alone."""
     for batch in batches:
@@ -75,6 +90,7 @@ def blocks(batches, text: str = "text", limit: int = BLOCK_BYTES):
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    give_back()
 
 
 @dataclass
