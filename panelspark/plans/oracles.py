@@ -166,6 +166,10 @@ DEPENDS = {
 }
 
 
+#: Expressions that are read more than once by one that is, too: computed once.
+MATERIALIZED = {"panel", "lin"}
+
+
 def sql(final, *names, **overrides):
     """``final`` with the named expressions and all that they need in front of it."""
     done = {}
@@ -179,7 +183,7 @@ def sql(final, *names, **overrides):
 
     for name in names:
         add(name)
-    chain = ",\n".join(f"{n} as ({q})" for n, q in done.items())
+    chain = ",\n".join(f"{n} as {'materialized ' if n in MATERIALIZED else ''}({q})" for n, q in done.items())
     return f"with recursive {chain}\n{final}" if done else final
 
 
@@ -555,7 +559,8 @@ ORACLES |= {
         count(*) filter (role = 'train') as n_train, count(*) filter (role = 'test') as n_test
         from roles join (select fold, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept from roles where role = 'train' group by fold)
         using (fold) group by fold""", "lin_places", "roles", **LINEAR_FOLDS),
-    "scores_linear": sql("select ticker, date, round(intercept + slope * predicted_score, 6) as predicted_score from panel, line", "panel", "line"),
+    "scores_linear": sql("select ticker, date, round((select intercept from line) + (select slope from line) * predicted_score, 6) as predicted_score from panel",
+                         "panel", "line"),
 }
 
 # p-values: the normal distribution by its series, Student's by Simpson's rule over the same angle
