@@ -5,22 +5,26 @@ at the first value; a null carries the mean on. So every value has a decay and a
 contributions, each times the product of the later decays, whose logarithms add up. A series is cut into blocks of so
 few rows that a block's decays stay above exp(-500): inside a block contributions are scaled up, summed and scaled back,
 and what earlier blocks leave is folded from their ends, a handful per series. Weights that are too steep for the
-blocks that other operators share take shorter ones of their own.
+blocks that other operators share take shorter ones of their own, whose ends are composed in a tree of groups, so that the
+work stays linear. A weight of 1 gives the last value.
 
 All windows are partitioned by ticker and have one order per block length: one exchange, no Python, and constant work
 per row for any span.
 """
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.rolling import BLOCK, BLOCK_COLUMNS, KEY, TIME, block_windows, in_blocks
+from panelspark.functions.rolling import BLOCK, BLOCK_COLUMNS, KEY, TIME, block_windows, in_blocks, series
 
 BLOCK_DECAY = 500.0
 #: Log decay of one gap, at most: a value before it would weigh less than any double can tell.
 GAP_DECAY = 150.0
+#: Blocks in a group, and rows per map at the top of the tree over short blocks, at least.
+FAN, TREE_ROWS = 32, 65_536
 
 
 def span_alpha(span: float) -> float:
@@ -28,9 +32,7 @@ def span_alpha(span: float) -> float:
 
 
 def block_rows(alpha: float) -> int:
-    """Rows whose decays stay above exp(-500), a power of two, the shared block length at most."""
-    if alpha >= 1:
-        return 1
+    """Rows whose decays stay above exp(-500), a power of two, the shared block length at most; weights below 1."""
     rows = BLOCK_DECAY / -math.log1p(-alpha)
     return int(min(BLOCK, 2 ** math.floor(math.log2(max(rows, 1)))))
 
@@ -45,11 +47,55 @@ def ewm(df: DataFrame, specs: dict, min_periods: dict = None, key=KEY, time=TIME
         if not 0 < a <= 1:
             raise ValueError("a weight lies above 0 and is 1 at most")
     names = list(specs)
-    for rows in sorted({block_rows(a) for _, a in specs.values()}, reverse=True):
-        df = _with_means(df, {n: s for n, s in specs.items() if block_rows(s[1]) == rows}, rows, min_periods or {}, key, time)
+    last = {n: x for n, (x, a) in specs.items() if a == 1}
+    for rows in sorted({block_rows(a) for _, a in specs.values() if a < 1}, reverse=True):
+        df = _with_means(df, {n: s for n, s in specs.items() if s[1] < 1 and block_rows(s[1]) == rows}, rows, min_periods or {}, key, time)
+    so_far = series(key, time).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({n: F.when(F.count(x).over(so_far) >= (min_periods or {}).get(n, 1), F.last(x, ignorenulls=True).over(so_far))
+                         for n, x in last.items()})
     return df.select(*[c for c in df.columns if c not in names], *names)
 
 
+def tree_levels(rows: int) -> int:
+    """Levels of groups of FAN blocks of ``rows`` rows, until a group has TREE_ROWS rows or more. Shared blocks need none."""
+    return 0 if rows >= BLOCK else max(0, math.ceil(math.log(TREE_ROWS / rows, FAN) - 1e-9))
+
+
+def _folded(df, inputs, rows, key, time):
+    """Add ``__before``: the composition of the maps (``__map``, at the first rows of blocks) of all earlier blocks.
+
+    A block maps the mean before it, b, to v + d * (b - r), or to v if there is none; such maps compose to one of the same
+    form. At each level the maps of a group of FAN are folded, and a group's whole map goes up to the next level. So a row
+    holds at most FAN maps per level, and one per TREE_ROWS rows at the top.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    across, head, _ = block_windows(key, time)
+    points = [f"r{i}" for i in dict.fromkeys(inputs.values())]
+    shape = f"struct<{','.join([f'{r}:double' for r in points] + [f'`{n}`:struct<v:double,d:double>' for n in inputs])}>"
+
+    def then(s, e):
+        parts = [F.coalesce(s[r], e[r]).alias(r) for r in points]
+        for n, i in inputs.items():
+            r, a, b = e[f"r{i}"], s[n], e[n]
+            both = F.struct((b["v"] + b["d"] * (a["v"] - r)).alias("v"), (a["d"] * b["d"]).alias("d"))
+            parts.append(F.when(r.isNull(), a).when(s[f"r{i}"].isNull(), b).otherwise(both).alias(n))
+        return F.struct(*parts).cast(shape)
+
+    none = F.struct(*[F.lit(None).cast("double").alias(r) for r in points],
+                    *[F.lit(None).cast("struct<v:double,d:double>").alias(n) for n in inputs]).cast(shape)
+    so_far = lambda w: F.collect_list("__map").over(w.orderBy("__block", time).rowsBetween(Window.unboundedPreceding, 0))
+    opens, found = F.col("__at") == 0, []
+    for level in range(tree_levels(rows) + 1):
+        top, group = level == tree_levels(rows), F.floor(F.col("__block") / F.lit(FAN ** (level + 1)))
+        w = Window.partitionBy(*keys) if top else Window.partitionBy(*keys, group)
+        df = df.withColumn("__maps", so_far(w)).withColumn(f"__p{level}", F.when(opens, F.aggregate("__maps", none, then)))
+        found.append(f"__p{level}")
+        if not top:
+            df = df.withColumn("__spread", F.first(f"__p{level}").over(head))
+            df = df.withColumn("__map", F.when(opens & (F.col("__block") % FAN ** (level + 1) == 0), F.lag("__spread").over(across)))
+    return df.withColumn("__before", reduce(then, [F.col(c) for c in reversed(found)]))
+
+
 def _with_means(df, specs, rows, need, key, time):
     keep, aside = df.columns, {}
     if rows != BLOCK and "__block" in keep:
@@ -72,25 +118,23 @@ def _with_means(df, specs, rows, need, key, time):
         i = inputs[x]
         gap, again = F.col(f"__gap{i}"), F.col(x).isNotNull() & F.col(f"__gap{i}").isNotNull()
         old = F.pow(F.lit(1.0 - a), gap)
-        kept = gap * F.lit(math.log1p(-a)) - F.log(old + F.lit(a)) if a < 1 else F.lit(-GAP_DECAY)
+        kept = gap * F.lit(math.log1p(-a)) - F.log(old + F.lit(a))
         decay[n] = F.when(again, F.greatest(kept, F.lit(-GAP_DECAY))).otherwise(0.0)
         part = F.when(again, F.lit(a) / (old + F.lit(a))).otherwise(F.when(F.col(x).isNotNull(), 1.0))
         share[n] = F.coalesce((F.col(x) - F.col(f"__first{i}")) * part, F.lit(0.0))
     df = df.withColumns({**{f"__l_{n}": F.sum(d).over(head) for n, d in decay.items()}, **{f"__c_{n}": c for n, c in share.items()}})
     df = df.withColumns({f"__y_{n}": F.sum(F.col(f"__c_{n}") * F.exp(-F.col(f"__l_{n}"))).over(head) * F.exp(F.col(f"__l_{n}")) for n in specs})
 
-    # what earlier blocks leave: their ends, folded at the first row of a block
-    end = F.lag(F.struct(*[f"__first{i}" for i in inputs.values()], *[f"__{k}_{n}" for n in specs for k in "ly"])).over(across)
-    df = df.withColumn("__end", F.when(F.col("__at") == 0, end)).withColumn("__ends", F.collect_list("__end").over(so_far))
+    # what earlier blocks leave, at the first row of a block
+    end = F.lag(F.struct(*[F.col(f"__first{i}").alias(f"r{i}") for i in inputs.values()], *[F.struct(
+        (F.col(f"__first{inputs[x]}") + F.col(f"__y_{n}")).alias("v"), F.exp(f"__l_{n}").alias("d")).alias(n) for n, (x, _) in specs.items()])).over(across)
+    df = _folded(df.withColumn("__map", F.when(F.col("__at") == 0, end)), {n: inputs[x] for n, (x, _) in specs.items()}, rows, key, time)
+    df = df.withColumns({f"__b_{n}": F.first(F.when(F.col("__at") == 0, F.col("__before")[n]["v"])).over(head) for n in specs})
 
     def mean(before, first, l, y):
         """The mean from what it was before the block, and the block's first value, decay and sum."""
         return F.coalesce(first + (y + F.exp(l) * (F.coalesce(before, first) - first)), before)
 
-    df = df.withColumns({f"__b_{n}": F.when(F.col("__at") == 0, F.aggregate(
-        "__ends", F.lit(None).cast("double"), lambda b, e: mean(b, e[f"__first{inputs[x]}"], e[f"__l_{n}"], e[f"__y_{n}"])))  # noqa: B023
-        for n, (x, _) in specs.items()})
-    df = df.withColumns({f"__b_{n}": F.first(f"__b_{n}").over(head) for n in specs})
     out = []
     for n, (x, _) in specs.items():
         i = inputs[x]

@@ -1,9 +1,14 @@
 """Gradient-boosted regression on a feature panel: search under purged folds, scoring, persistence."""
 
 import itertools
+import pickle
 import random
+from collections.abc import Iterator
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -136,6 +141,28 @@ def score(model, panel: DataFrame, features, name="predicted_score") -> DataFram
         *[F.col(f"__keep_{c}").alias(c) if c in features else F.col(c) for c in panel.columns], value.alias(name))
 
 
+def score_object(model, panel: DataFrame, features, name="predicted_score") -> DataFrame:
+    """Add the score of any fitted object whose ``predict`` takes rows of numbers and gives one number per row.
+
+    The object is sent to each worker once, loaded once per task, and meets a batch of complete rows at a time. Rows that lack
+    a feature (null or NaN) stay, with a null score, and are never shown to it.
+    """
+    held = panel.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+
+    def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        fitted = pickle.loads(held.value)
+        for batch in batches:
+            x = batch.to_numpy(dtype=float, na_value=np.nan)
+            complete = ~np.isnan(x).any(axis=1)
+            out = np.full(len(x), np.nan)
+            if complete.any():
+                out[complete] = fitted.predict(x[complete])
+            yield pd.Series(out)
+
+    scorer = F.pandas_udf(predicted, "double")
+    return panel.withColumn(name, scorer(F.struct(*[F.col(c).cast("double").alias(c) for c in features])))
+
+
 def importances(model, features) -> DataFrame:
     """(feature, importance, importance_pct), largest first; one row per feature."""
     spark = SparkSession.getActiveSession()

@@ -14,6 +14,7 @@ from panelspark.operators import features as ft
 from panelspark.operators import folds as cv
 from panelspark.operators import fracdiff as fd
 from panelspark.operators import labels as lb
+from panelspark.operators import linear as ln
 from panelspark.operators import model as md
 from panelspark.operators import portfolio as pf
 from panelspark.operators import quality as ql
@@ -559,6 +560,17 @@ def ewm_with_gaps(spark, d):
     return columns(ew.ewm(src.holey_bars(spark, d), {"ewm_20": ("close", ew.span_alpha(20))}), "ewm_20")
 
 
+#: Weights so steep that a mean is nearly its last values.
+STEEP = {"ewm_a90": 0.9, "ewm_a999": 0.999, "ewm_a1": 1.0}
+
+
+@query
+def ewm_steep(spark, d):
+    """Means of weights near 1 over bars with null prices."""
+    specs = {n: ("close", a) for n, a in STEEP.items()}
+    return columns(ew.ewm(src.holey_bars(spark, d), specs), *specs)
+
+
 @query
 def rsi_50(spark, d):
     return columns(ft.rsi(src.daily_bars(spark, d), 50, name="rsi_50"), "rsi_50")
@@ -605,6 +617,36 @@ def scores_linear(spark, d):
     return columns(md.score(model, panel, ["momentum"]), "predicted_score")
 
 
+@query
+def scores_object(spark, d):
+    """The same scores by an object with ``predict`` that was fitted from sums."""
+    train, _ = cv.time_split(linear_rows(spark, d), TRAIN_END, TEST_START)
+    model = ln.ridge_fit(train, ["momentum"], "fwd_raw_return")
+    panel = src.score_panel(spark, d).select("ticker", "date", F.col("predicted_score").alias("momentum"))
+    return columns(md.score_object(model, panel, ["momentum"]), "predicted_score")
+
+
+#: Six sets of features, each with five penalties.
+RIDGE_FEATURES = ["predicted_score", "realized_vol_20", "daily_return"]
+RIDGE_SETS = [[0], [1], [2], [0, 1], [0, 2], [1, 2]]
+RIDGE_REGS = [0.0, 1e-5, 1e-4, 1e-3, 1e-2]
+RIDGE = [{"features": [RIDGE_FEATURES[i] for i in s], "reg": r} for s in RIDGE_SETS for r in RIDGE_REGS]
+
+
+@query
+def linear_search(spark, d):
+    """Errors of 30 settings of ridge regression in each of five purged folds."""
+    found = ln.ridge_search(src.score_panel(spark, d), RIDGE, "fwd_raw_return")
+    return rounded(found.select("candidate", "fold", "rmse", "n_train", "n_test"))
+
+
+@query
+def best_linear(spark, d):
+    """The 30 settings by their mean error."""
+    found = md.best_candidate(ln.ridge_search(src.score_panel(spark, d), RIDGE, "fwd_raw_return"))
+    return rounded(found.select("candidate", "mean_rmse"))
+
+
 
 def fitted(spark, d):
     panel = src.model_panel(spark, d)

@@ -535,6 +535,11 @@ DEPENDS |= {"lin": ["panel"], "lin_places": ["lin"], "line": ["lin"]}
 LINEAR_FOLDS = {"bounds": CTES["bounds"].format(n="count(distinct date)", places="lin_places"),
                 "roles": CTES["roles"].format(places="lin_places")}
 
+#: Daily bars in which returned line items have no price
+HOLEY = (f"select ticker, date, close as x from (select ticker, date, last(price order by {ORDER}) filter (price is not null) as close from ("
+         f"select 'S' || l_suppkey as ticker, cast(l_shipdate as date) as date, case when l_returnflag <> 'R' then {PRICE} end as price, {ORDER} "
+         "from lineitem) group by ticker, date)")
+
 ORACLES |= {
     "bars_store": ORACLES["date_range_scan"],
     "vendor_bars": """select ticker, date, round(value, 6) as open, round(value + 1, 6) as high, cast(null as double) as low,
@@ -548,9 +553,8 @@ ORACLES |= {
         select l_suppkey from lineitem where cast(l_shipdate as date) = '{START}')""",
     "ewm_spans": means(sql("select ticker, date, close as x from daily", "daily"),
                        {f"ewm_{n}": 2 / (n + 1) for n in SPANS} | {"ewm_a50": 1 / 50}),
-    "ewm_with_gaps": means(f"select ticker, date, close as x from (select ticker, date, last(price order by {ORDER}) filter (price is not null) as close from ("
-                           f"select 'S' || l_suppkey as ticker, cast(l_shipdate as date) as date, case when l_returnflag <> 'R' then {PRICE} end as price, {ORDER} "
-                           "from lineitem) group by ticker, date)", {"ewm_20": 2 / 21}),
+    "ewm_with_gaps": means(HOLEY, {"ewm_20": 2 / 21}),
+    "ewm_steep": means(HOLEY, {"ewm_a90": 0.9, "ewm_a999": 0.999, "ewm_a1": 1.0}),
     "rsi_50": long_oscillators("""select ticker, date, round(case when rn >= 51 and l > 1e-12 then 100 - 100 / (1 + g / l) else 50 end, 6) as rsi_50
         from emas join steps using (ticker, rn)""", period=50),
     "macd_50_100": long_oscillators("""select ticker, date, round(f - s, 6) as macd, round(sig, 6) as macd_signal, round(f - s - sig, 6) as macd_hist
@@ -579,3 +583,30 @@ ORACLES |= {
             lambda i: (case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end) * pow(cos(u * i / 2000), n_stocks - 3))))) end, 6) as p_value
         from (select *, asin(least(abs(ic), 1)) as u from ic)""", "ic"),
 }
+
+# ridge regression: each setting by the closed form of at most two features, errors row by row
+CTES["ridge_rows"] = """select ticker, date, fwd_raw_return as y, [predicted_score, realized_vol_20, daily_return, 0] as x from panel
+    where predicted_score is not null and realized_vol_20 is not null and daily_return is not null and fwd_raw_return is not null"""
+CTES["ridge_places"] = "select *, dense_rank() over (order by date) - 1 as pos from ridge_rows"
+CTES["settings"] = """select (row_number() over (order by s, r) - 1) as candidate, u, v, reg from
+    (values (0, 1, 4), (1, 2, 4), (2, 3, 4), (3, 1, 2), (4, 1, 3), (5, 2, 3)) sets(s, u, v),
+    (values (0, 0::double), (1, 1e-5::double), (2, 1e-4::double), (3, 1e-3::double), (4, 1e-2::double)) regs(r, reg)"""
+CTES["ridge_moments"] = """select fold, candidate, u, v, count(*) as n_train, avg(y) as my, avg(x[u]) as mu, avg(x[v]) as mv,
+    covar_pop(x[u], x[u]) + reg as suu, covar_pop(x[v], x[v]) + reg as svv, covar_pop(x[u], x[v]) as suv, covar_pop(y, x[u]) as suy,
+    covar_pop(y, x[v]) as svy from roles, settings where role = 'train' group by fold, candidate, u, v, reg"""
+CTES["ridge_lines"] = """select *, case when v = 4 then suy / suu else (suy * svv - svy * suv) / (suu * svv - suv * suv) end as bu,
+    case when v = 4 then 0 else (svy * suu - suy * suv) / (suu * svv - suv * suv) end as bv from ridge_moments"""
+CTES["ridge_errors"] = """select candidate, fold, sqrt(avg(pow(y - my - bu * (x[u] - mu) - bv * (x[v] - mv), 2))) as rmse, any_value(n_train) as n_train,
+    count(*) as n_test from ridge_lines join roles using (fold) where role = 'test' group by candidate, fold"""
+MATERIALIZED |= {"ridge_rows", "roles"}
+DEPENDS |= {"ridge_rows": ["panel"], "ridge_places": ["ridge_rows"], "ridge_moments": ["settings"], "ridge_lines": ["ridge_moments"],
+            "ridge_errors": ["ridge_lines"]}
+RIDGE_FOLDS = {"bounds": CTES["bounds"].format(n="count(distinct date)", places="ridge_places"),
+               "roles": CTES["roles"].format(places="ridge_places")}
+ORACLES |= {
+    "scores_object": ORACLES["scores_linear"],
+    "linear_search": sql("""select candidate, cast(fold as bigint) as fold, round(rmse, 6) as rmse, n_train, n_test from ridge_errors""",
+                         "ridge_places", "roles", "ridge_errors", **RIDGE_FOLDS),
+    "best_linear": sql("select candidate, round(avg(rmse), 6) as mean_rmse from ridge_errors group by candidate",
+                       "ridge_places", "roles", "ridge_errors", **RIDGE_FOLDS),
+}

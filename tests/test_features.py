@@ -157,3 +157,29 @@ def test_frames_longer_than_a_block(spark, monkeypatch):
         got = result(rolling.long_sums(rolling.in_blocks(df, 16), n, {"s": F.col("x")}), "date")
         close_to(got.s, x.rolling(n, min_periods=1).sum(), 1e-9)
         assert "__block" in got.columns
+
+
+def steep_frame(spark, n):
+    x = pd.Series(100 + np.random.RandomState(5).randn(n).cumsum())
+    x[np.random.RandomState(6).rand(n) < 0.1] = np.nan
+    x[300:1500] = np.nan
+    dates = pd.date_range("1900-01-01", periods=n).date
+    return x, frame(spark, pd.DataFrame({"ticker": "A", "date": dates, "x": x}), "ticker string, date date, x double")
+
+
+@pytest.mark.parametrize("fan, top", [(32, 65_536), (2, 1024), (4, 65_536)])
+def test_ewm_of_steep_weights(spark, fan, top, monkeypatch):
+    monkeypatch.setattr(ew, "FAN", fan)
+    monkeypatch.setattr(ew, "TREE_ROWS", top)
+    x, df = steep_frame(spark, 6000)
+    alphas = [0.9, 0.999, 1.0] if fan != 4 else [0.9]
+    got = result(ew.ewm(df, {f"y{i}": ("x", a) for i, a in enumerate(alphas)}, {"y0": 3}), "date")
+    for i, a in enumerate(alphas):
+        close_to(got[f"y{i}"], x.ewm(alpha=a, adjust=False, min_periods=0 if i else 3).mean(), 1e-9)
+
+
+def test_rows_hold_few_maps_whatever_the_weight():
+    for alpha in (0.25, 0.5, 0.9, 0.999, 1 - 1e-12):
+        rows = ew.block_rows(alpha)
+        assert rows >= ew.BLOCK or rows * ew.FAN ** ew.tree_levels(rows) >= ew.TREE_ROWS
+    assert ew.tree_levels(ew.BLOCK) == 0
