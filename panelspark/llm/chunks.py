@@ -89,7 +89,7 @@ def arrays(column: pa.ChunkedArray | pa.Array, dtype) -> list[np.ndarray]:
 def concatenated(parts: list[np.ndarray], dtype) -> tuple[np.ndarray, np.ndarray]:
     """All values one after the other, and the number of the array that each comes from."""
     sizes = [len(p) for p in parts]
-    return (np.concatenate(parts) if parts else np.zeros(0, dtype)), np.repeat(np.arange(len(parts)), sizes)
+    return (np.concatenate(parts) if parts else np.zeros(0, dtype)), np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
 
 
 def asked(chunks: DataFrame, question, schema: str) -> DataFrame:
@@ -106,8 +106,13 @@ def asked(chunks: DataFrame, question, schema: str) -> DataFrame:
 
 def answered(questions: DataFrame, answer, schema: str, n_buckets: int) -> DataFrame:
     """``answer(bucket's rows)`` gives a table with ``chunk`` and packed answers; stored."""
+
+    def each(rows: pa.Table) -> pa.Table:
+        give_back()  # what the bucket before held
+        return answer(rows)
+
     dealt = questions.repartition(n_buckets, "bucket")
-    return stored(dealt.groupBy("bucket").applyInArrow(answer, schema))
+    return stored(dealt.groupBy("bucket").applyInArrow(each, schema))
 
 
 def met(chunks: DataFrame, answers: DataFrame, use, schema) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import materialize
 
+#: Bytes of the Arrow batches that stages of the pipeline send to Python.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -25,6 +28,15 @@ def _without_shuffle_files(spark: SparkSession):
             spark.conf.set(_CLEANUP, before)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends Python batches of bounded bytes (one longer row alone), unless it has a bound of its own.
+
+    A batch is otherwise bounded by its rows only. The setting stays, as queries built now may run later.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back; its shuffle files are removed when it is written."""
     with _without_shuffle_files(df.sparkSession):

@@ -84,9 +84,11 @@ def _live(chunks: DataFrame, text: str, doc_id: str, window: int, n_buckets: int
     def answer(rows: pa.Table) -> pa.Table:
         kinds = [concatenated(arrays(rows.column(c), np.uint32), np.uint32) for c in ("anchors", "shared", "others")]
         low, chunk = (np.concatenate([k[i] for k in kinds]) for i in (0, 1))
-        kind = np.repeat(np.arange(3), [len(k[0]) for k in kinds])
+        kind = np.repeat(np.arange(3, dtype=np.uint8), [len(k[0]) for k in kinds])
+        del kinds
         order = np.argsort(low, kind="stable")  # anchors first within a key
         low, chunk, kind = low[order], chunk[order], kind[order]
+        del order
         start = np.flatnonzero(np.r_[True, low[1:] != low[:-1]]) if len(low) else np.zeros(0, np.int64)
         size = np.diff(np.r_[start, len(low)])
         best = np.minimum.reduceat(kind, start) if len(low) else kind
