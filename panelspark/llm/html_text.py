@@ -83,8 +83,17 @@ def page_blocks(html: str) -> list[Block]:
     """Text blocks of a page in order. Comments, scripts, styles and markup leave nothing; a cut page ends where it ends."""
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, flags, number of the element
+    places: dict[str, list[int]] = {}  # where each tag is open
+    blocks_open = [0]  # where a block is open
     count, at, now = 0, 0, None
 
+    def close(k: int):
+        for tag, _, _ in stack[k:]:
+            places[tag].pop()
+        while blocks_open[-1] >= k:
+            blocks_open.pop()
+        del stack[k:]
+
     def add(raw: str):
         nonlocal now
         if not raw:
@@ -92,10 +101,7 @@ def page_blocks(html: str) -> list[Block]:
         if now is None:
             if raw.isspace():
                 return
-            tag, flags, _ = stack[-1]
-            k = len(stack) - 1
-            while k and stack[k][0] not in BLOCK:
-                k -= 1
+            flags, k = stack[-1][1], blocks_open[-1]
             now = Block(flags & ~_LINK, stack[k][2], stack[k][0])
             out.append(now)
         now.parts.append(raw)
@@ -117,12 +123,9 @@ def page_blocks(html: str) -> list[Block]:
         if closing:
             if tag in BLOCK:
                 now = None
-            for k in range(len(stack) - 1, max(0, len(stack) - 200), -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
-                    break  # an inline end tag doesn't close a block
+            k = places[tag][-1] if places.get(tag) else 0
+            if k and (tag in BLOCK or k > blocks_open[-1]):  # an inline end tag doesn't close a block
+                close(k)
             continue
         if tag == "br":
             if now is not None:
@@ -131,7 +134,9 @@ def page_blocks(html: str) -> list[Block]:
         if tag in BLOCK:
             now = None
             if tag in ENDS_P or tag in ENDS_ITSELF:
-                _close_open(stack, tag)
+                k = blocks_open[-1]
+                if k and (stack[k][0] == "p" or stack[k][0] == tag and tag in ENDS_ITSELF):
+                    close(k)  # a block ends an open paragraph, and an item ends the open item before it
         if tag in VOID or (m[3] or "").endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
@@ -142,23 +147,15 @@ def page_blocks(html: str) -> list[Block]:
         flags = _meaning(tag, m[3] or "", stack[-1][1])
         if now is not None and (flags ^ stack[-1][1]) & ~_LINK:
             now = None  # an inline element that means something else is a block of its own
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            blocks_open.append(len(stack))
         stack.append((tag, flags, count))
     for b in out:
         b.text = " ".join(unescape("".join(b.parts)).split())
     return [b for b in out if b.text]
 
 
-def _close_open(stack: list, tag: str) -> None:
-    """A block ends an open paragraph, and an item ends the open item before it."""
-    for k in range(len(stack) - 1, max(0, len(stack) - 50), -1):
-        open_ = stack[k][0]
-        if open_ == "p" or open_ == tag and tag in ENDS_ITSELF:
-            del stack[k:]
-            return
-        if open_ in BLOCK:
-            return
-
-
 def costs(page: list[Block]) -> list[int]:
     """Cost of calling each block boilerplate less that of calling it content: positive for content."""
     framed = any(b.flags & _HERE and not b.flags & (_AWAY | _SITE | _HIDDEN) for b in page)

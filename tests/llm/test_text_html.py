@@ -66,6 +66,14 @@ def test_broken_pages(html):
     assert "<" not in H.main_text(html)
 
 
+@pytest.mark.parametrize("inline", ["<span>", "<b><i>", "<p>", "<div>"])
+def test_an_end_tag_finds_its_element_at_any_depth(inline):
+    """Unclosed elements in a closed menu don't take the article with them."""
+    article = "The harvest was late this year, and the mill stood still until the rain had stopped for good."
+    page = f"<nav>{(inline + 'Home ') * 700}</nav><article><p>{article}</p></article><aside>{inline * 300}More</aside>"
+    assert H.main_text(page) == article
+
+
 def test_cut_page_keeps_what_is_there():
     whole = H.main_text("<body><article><p>One two three.</p><p>Four five six")
     assert whole == "One two three.\nFour five six"
