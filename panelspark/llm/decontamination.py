@@ -124,34 +124,47 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     wordless item; an item without id is named ``null``; items that share an id count once; equal rows get equal
     results; with no items nothing is hit. Columns of ``docs`` with the names of results are replaced.
     """
-    spark = docs.sparkSession
     aside = set_aside(docs, {"text": text})
-    state = aside.rows.withColumns({
+    return aside.back(_searched(aside.rows, items, item_id, item_text, window, block_words), ("n_words", "hit_spans", "hit_items"))
+
+
+def _searched(rows: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
+              block_words: int = ITEM_WORDS, cutting: bool = False) -> DataFrame:
+    """``rows`` with the results of ``hits``; the last pass also cuts the spans out of the text if ``cutting``."""
+    spark = rows.sparkSession
+    state = rows.withColumns({
         "n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<long>"), "hit_items": F.array().cast("array<string>")})
-    n_blocks = 0
-    for ids, texts in _item_blocks(items, item_id, item_text, block_words):
-        if n_blocks and not ids:
-            break
+    found = _item_blocks(items, item_id, item_text, block_words)
+    n_blocks, now = 0, next(found)
+    while now is not None:
+        ids, texts = now
+        now = next(found, None)
+        if now is not None and not now[0]:
+            now = None
         state = stored(state) if n_blocks else state
-        state = _pass(state, spark.sparkContext.broadcast(Phrases(ids, texts, window)), "text", n_blocks > 0)
+        state = _pass(state, spark.sparkContext.broadcast(Phrases(ids, texts, window)), "text", n_blocks > 0, cutting and now is None)
         n_blocks += 1
-    return aside.back(state, ("n_words", "hit_spans", "hit_items"))
+    return state
 
 
-def _pass(state: DataFrame, phrases, text: str, again: bool) -> DataFrame:
+def _pass(state: DataFrame, phrases, text: str, again: bool, cutting: bool) -> DataFrame:
     names = state.columns
 
     def search(batches):
         for block in blocks(batches, text, SHARD_BYTES):
-            words, hit, items = _matches(block, block.column(names.index(text)), phrases.value)
+            column = block.column(names.index(text))
+            words, hit, items = _matches(block, column, phrases.value)
             if again:
                 for row, spans in enumerate(block.column(names.index("hit_spans")).to_pylist()):
                     for lo, hi in zip(spans[0::2], spans[1::2]):
                         hit[words.first[row] + lo:words.first[row] + hi] = True
                 before = block.column(names.index("hit_items")).to_pylist()
                 items = [sorted({*a, *b}) for a, b in zip(before, items)]
-            new = {"n_words": pa.array(words.counts, pa.int64()), "hit_spans": pa.array(_spans(hit, words), pa.list_(pa.int64())),
+            spans = _spans(hit, words)
+            new = {"n_words": pa.array(words.counts, pa.int64()), "hit_spans": pa.array(spans, pa.list_(pa.int64())),
                    "hit_items": pa.array(items, pa.list_(pa.string()))}
+            if cutting:
+                new[text] = _without(column, spans)
             yield pa.RecordBatch.from_arrays([new.get(c, block.column(i)) for i, c in enumerate(names)], names)
 
     return state.mapInArrow(search, state.schema)
@@ -163,30 +176,36 @@ def n_hit(spans: str = "hit_spans"):
                        lambda a, x: a + x)
 
 
+def _without(column: pa.Array, spans: list[list[int]]) -> pa.Array:
+    """The texts with each span cut out, from its first to its last character."""
+    if not any(spans):
+        return column
+    texts = column.to_pylist()
+    for i in (i for i, s in enumerate(spans) if s):
+        words = split(pa.array([texts[i]], pa.string()), alphanumeric(), lower=True)
+        raw, parts, at = texts[i].encode(), [], 0
+        for lo, hi in zip(spans[i][0::2], spans[i][1::2]):
+            parts.append(raw[at:words.starts[lo]])
+            at = words.ends[hi - 1]
+        texts[i] = b"".join([*parts, raw[at:]]).decode()
+    return pa.array(texts, column.type)
+
+
 def cut(found: DataFrame, text: str = "text") -> DataFrame:
-    """``found`` (from ``hits``) with each span cut out of the text, from its first to its last character."""
+    """``found`` (from ``hits``) with each span cut out of the text."""
     names = found.columns
 
     def clean(batches):
         for block in blocks(batches, text, SHARD_BYTES):
             spans = block.column(names.index("hit_spans")).to_pylist()
-            column = block.column(names.index(text))
-            if any(spans):
-                texts = column.to_pylist()
-                for i in (i for i, s in enumerate(spans) if s):
-                    words = split(pa.array([texts[i]], pa.string()), alphanumeric(), lower=True)
-                    raw, parts, at = texts[i].encode(), [], 0
-                    for lo, hi in zip(spans[i][0::2], spans[i][1::2]):
-                        parts.append(raw[at:words.starts[lo]])
-                        at = words.ends[hi - 1]
-                    texts[i] = b"".join([*parts, raw[at:]]).decode()
-                column = pa.array(texts, column.type)
+            column = _without(block.column(names.index(text)), spans)
             yield pa.RecordBatch.from_arrays([column if c == text else block.column(i) for i, c in enumerate(names)], names)
 
     return found.mapInArrow(clean, found.schema)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with every hit span cut out of its text; other texts stay as they are."""
+    """``docs`` with every hit span cut out of its text; other texts stay as they are. The last pass over the documents cuts, so
+    that a task needs one Python worker."""
     aside = set_aside(docs, {"text": text})
-    return aside.back(cut(hits(aside.rows, items, **options)))
+    return aside.back(_searched(aside.rows, items, cutting=True, **options))
