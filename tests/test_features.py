@@ -183,3 +183,14 @@ def test_rows_hold_few_maps_whatever_the_weight():
         rows = ew.block_rows(alpha)
         assert rows >= ew.BLOCK or rows * ew.FAN ** ew.tree_levels(rows) >= ew.TREE_ROWS
     assert ew.tree_levels(ew.BLOCK) == 0
+
+
+def test_both_forms_of_ewm_agree_and_series_needs_no_window(spark):
+    x, df = steep_frame(spark, 3000)
+    specs = {"a": ("x", 0.9), "b": ("x", ew.span_alpha(200)), "c": ("x", 1.0)}
+    by_series, by_windows = (ew.ewm(df, specs, {"b": 9}, form=f) for f in ("series", "windows"))
+    one, other = result(by_series, "date"), result(by_windows, "date")
+    for n in specs:
+        close_to(one[n], other[n], 1e-9)
+    text = by_series._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in text and "Window [" not in text  # no task holds its rows many times over
