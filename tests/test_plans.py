@@ -93,3 +93,10 @@ def test_ranks_take_few_exchanges(spark, data):
     for name in ("rank_ic", "quantile_legs"):
         text = plan(QUERIES[name](spark, data))
         assert text.count("Exchange") <= 4 and text.count("FileScan") <= 4
+
+
+def test_stored_bars_come_in_parts_of_bounded_rows(spark, bars):
+    dealt = inputs.by_ticker(bars, task_rows=5)
+    assert dealt.rdd.getNumPartitions() == -(-bars.count() // 5) == 18
+    assert plan(labels.daily_return(dealt)).count("Exchange") == 1  # a window by ticker needs no other
+    assert sorted(dealt.collect()) == sorted(bars.collect())
