@@ -43,7 +43,7 @@ def feature_panel(bars: DataFrame, universe: DataFrame, config: StudyConfig) ->
     """Labels, differenced price and features of clean bars, before it is stored."""
     labelled = labels.label_panel(bars, config.market, config.beta_window, config.label_horizon)
     differenced = fracdiff.fracdiff_panel(labelled, config.benchmarks, thresh=config.ffd_thresh)
-    return features.engineer_features(differenced, universe)
+    return features.engineer_features(differenced, universe, form="series")
 
 
 def run_study(bars: DataFrame, universe: DataFrame, out: str, config: StudyConfig = None) -> dict:

@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from conftest import BAR_DDL, bars_pdf, close_to, days, frame, result
+from conftest import BAR_DDL, bars_pdf, close_to, days, frame, plan, result
 
 from panelspark.functions import ewm as ew
 from panelspark.operators import features as ft
@@ -194,3 +194,27 @@ def test_both_forms_of_ewm_agree_and_series_needs_no_window(spark):
         close_to(one[n], other[n], 1e-9)
     text = by_series._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in text and "Window [" not in text  # no task holds its rows many times over
+
+
+@pytest.mark.parametrize("rows, batch", [(1, 7), (300, 100), (16_384, 10_000)])
+def test_features_of_whole_tickers_in_batches(spark, rows, batch, monkeypatch):
+    """Tickers of uneven length, gaps in volume and prices, flat prices; cut into batches at any place."""
+    pdf = pd.concat([bars_pdf([t], n, seed=n) for t, n in (("A", 230), ("B", 1), ("C", 15), ("D", 60), ("E", 400))], ignore_index=True)
+    pdf.loc[::37, "volume"] = 0.0
+    pdf.loc[5::53, ["open", "high", "low", "close"]] = np.nan
+    pdf.loc[pdf.ticker == "D", ["open", "high", "low", "close", "volume"]] = 10.1
+    panel = lb.daily_return(frame(spark, pdf, BAR_DDL))
+    universe = un.from_sector_lists(spark, {"X": ["Q"], "Y": ["A"]})
+    want = result(ft.engineer_features(panel, universe), "ticker", "date")
+    monkeypatch.setattr(ew.per_run, "__defaults__", (*ew.per_run.__defaults__[:-1], rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = result(ft.engineer_features(panel, universe, form="series"), "ticker", "date")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert list(got.columns) == list(want.columns) and (got.sector_code == want.sector_code).all()
+    for c in ft.FEATURES:
+        close_to(got[c], want[c], 1e-8)
+    assert got[got.ticker == "D"].volume_zscore.isna().all()
+    text = plan(ft.engineer_features(panel, form="series"))
+    assert text.count("Window [") == 1 and "MapInArrow" in text  # the return's
