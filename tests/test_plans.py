@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.crossrank import group_rank
 from panelspark.operators import backtest, features, fracdiff, labels, portfolio
-from panelspark.plans import inputs
+from panelspark.plans import catalog, inputs
 from panelspark.sources import universe as un
 from panelspark.storage import materialize, work_dir
 
@@ -100,3 +100,24 @@ def test_stored_bars_come_in_parts_of_bounded_rows(spark, bars):
     assert dealt.rdd.getNumPartitions() == -(-bars.count() // 5) == 18
     assert plan(labels.daily_return(dealt)).count("Exchange") == 1  # a window by ticker needs no other
     assert sorted(dealt.collect()) == sorted(bars.collect())
+
+
+def test_the_score_panel_builds_no_market(spark, data, monkeypatch):
+    plans = []
+    monkeypatch.setattr(inputs, "materialize", lambda df: plans.append(plan(df)) or df)
+    inputs.score_panel(spark, data)
+    assert plans and "explode" not in plans[0].lower()
+
+
+@pytest.mark.parametrize("name", ["scores_linear", "scores_object"])
+def test_scores_build_their_panel_once(spark, data, monkeypatch, name):
+    made, real = [], inputs.score_panel
+    monkeypatch.setattr(inputs, "score_panel", lambda *a: made.append(1) or real(*a))
+    catalog.QUERIES[name](spark, data)
+    assert len(made) == 1
+
+
+def test_bars_of_a_few_tickers_are_those_of_all(spark, data):
+    named, every = inputs.bars_of(spark, data, ["S1", "MKT"]), inputs.daily_bars(spark, data).where("ticker in ('S1', 'MKT')")
+    assert sorted(named.collect()) == sorted(every.collect())
+    assert "explode" not in plan(named).lower()
