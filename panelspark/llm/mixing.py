@@ -30,6 +30,8 @@ SEED = 42
 MOST_PATTERNS = 100_000
 #: Documents of a pattern in one hash range.
 RANGE_DOCS = 5_000
+_PLAN = {"_p": pa.string(), "source_sizes": pa.list_(pa.int64()), "targets": pa.list_(pa.float64()), "copies": pa.int64(), "rest": pa.int64(),
+         "ranges": pa.int64()}
 
 
 def with_sizes(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -192,7 +194,8 @@ def plan(sized: DataFrame, members, doc_id: str = "doc_id", seed: int = SEED) ->
         amount = sum(to.values())
         out.append((p, [sizes[s] for s in names], [shares[s][0] / shares[s][1] for s in names],
                     amount // words if words else 0, amount % words if words else 0, max(1, docs // RANGE_DOCS)))
-    made = spark.createDataFrame(out, "_p string, source_sizes array<long>, targets array<double>, copies long, rest long, ranges long")
+    # from Arrow: rows as Python objects would be read by workers of another kind, which stay beside those at work
+    made = spark.createDataFrame(pa.table([pa.array([row[i] for row in out], kind) for i, kind in enumerate(_PLAN.values())], [*_PLAN]))
     # where the rest ends: the first hash range whose running sum reaches it
     ranged = rows.join(F.broadcast(made.select("_p", "ranges", "rest")), F.col("p") == F.col("_p"))
     range_sums = ranged.groupBy("p", _range(F.col("k"), F.col("ranges")).alias("r")).agg(F.sum("words").alias("n"), F.max("rest").alias("rest"))

@@ -74,7 +74,7 @@ def with_counts(docs: DataFrame, text: str = "text", keep_text: bool = False) ->
     n_kept = len(rest) + keep_text
 
     def count(batches):
-        for block in blocks(batches, "_text", 1 << 20):
+        for block in blocks(batches, "_text", 1 << 19):
             counts = text_counts(block.column(block.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*block.columns[:n_kept], *(pa.array(counts[c]) for c in _COUNTS)], schema.fieldNames())
 

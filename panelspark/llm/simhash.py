@@ -29,6 +29,8 @@ DISTANCE = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Runs of up to this many fingerprints with one key are compared all at once, longer ones one by one against the rest.
 SHORT_RUN = 12
+#: Fingerprints whose keys are made at a time: about fifty keys of 16 bytes for each.
+KEYED = 2_000
 
 
 def fingerprints(column: pa.Array, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
@@ -161,8 +163,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 20_000):
-                fp = batch.column(0).slice(lo, 20_000).to_numpy().view(np.uint64)
+            for lo in range(0, batch.num_rows, KEYED):
+                fp = batch.column(0).slice(lo, KEYED).to_numpy().view(np.uint64)
                 key, who = keys(fp)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[who].view(np.int64))], ["key", "fp"])
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import (answered, arrays, asked, binaries, bucket_count, bucketed, chunk_table, column, concatenated,
+from .chunks import (CHUNK_BYTES, answered, arrays, asked, binaries, bucket_count, bucketed, chunk_table, column, concatenated,
                      cut_at_buckets, met)
 from .columns import set_aside
 from .store import discard
@@ -153,20 +153,21 @@ def _earlier(chunks: DataFrame, live: DataFrame, text: str, doc_id: str, window:
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW,
-                 keep_layout: bool = True) -> DataFrame:
+                 keep_layout: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Every row of ``docs`` with ``n_words`` and ``n_removed``, its text without the removed words.
 
     A word is removed if a window of ``window`` words that covers it also starts in a document with a smaller id;
     windows are those of the input. ``keep_layout`` cuts the runs of removed words out of the text and leaves the
     rest as it is; otherwise the kept words are joined by one space. A null text has no words and becomes empty (or
     stays null with ``keep_layout``). Rows with the same id don't remove each other's words; a row without id counts
-    as later than all others. Result columns replace columns of the same name; an empty table gives no row.
+    as later than all others. Result columns replace columns of the same name; an empty table gives no row. ``chunk_bytes``
+    bounds the texts that a task holds at a time; the result doesn't depend on it.
     """
     aside = set_aside(docs, {"doc_id": doc_id, "text": text})
     docs, doc_id, text = aside.rows, "doc_id", "text"
     schema = docs.withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
     names = docs.columns
-    chunks = chunk_table(docs, text)
+    chunks = chunk_table(docs, text, chunk_bytes)
     n_buckets = bucket_count(chunks)
     live = _live(chunks, text, doc_id, window, n_buckets)
     earlier = _earlier(chunks, live, text, doc_id, window, n_buckets)

@@ -16,8 +16,8 @@ import pyarrow as pa
 
 #: Bytes of one block of rows; memory per block is a small multiple of it, plus that of the longest single text.
 BLOCK_BYTES = 2 << 20
-#: Bytes whose running sums are held at a time.
-SLICE_BYTES = 1 << 20
+#: Bytes whose running sums are held at a time; a worker keeps two tables of eight times as many bytes.
+SLICE_BYTES = 1 << 17
 
 _STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _WINDOW_STEP = np.uint64(0xD1342543DE82EF95)
