@@ -113,3 +113,16 @@ def test_log_price_floor(spark):
     rows = [("A", days(3)[0], 0.0), ("A", days(3)[1], None), ("A", days(3)[2], 1.0)]
     got = result(fd.log_price(frame(spark, rows, "ticker string, date date, close double")), "date").log_close
     close_to(got, [np.log(1e-8), np.nan, 0.0])
+
+
+def test_a_pass_over_many_tickers_gives_the_same_orders(spark):
+    from panelspark.functions.ewm import per_run
+
+    pdf = pd.concat([bars_pdf([t], n, seed=n) for t, n in (("A", 700), ("B", 1), ("MKT", 90), ("C", 60))], ignore_index=True)
+    pdf.loc[::97, "close"] = np.nan
+    bars = frame(spark, pdf, BAR_DDL)
+    want = result(fd.fracdiff_panel(bars, ["MKT"]), "ticker", "date")
+    names, inputs, compute = fd.fracdiff_beside(["MKT"])
+    got = result(per_run(fd.benchmark_logs(bars, ["MKT"]), names, inputs, compute), "ticker", "date")
+    for c in ("log_close", "fracdiff_d", "fracdiff_close"):
+        close_to(got[c], want[c], 0)

@@ -103,3 +103,18 @@ def test_search_takes_any_estimator_and_folds(spark, panel):
     assert sorted(zip(got.fold, got.n_train, got.n_test)) == [(0, 280, 160)] * 2 + [(1, 280, 160)] * 2
     best = md.best_candidate(spark.createDataFrame(got)).first()
     assert best.candidate == 0
+
+
+def test_scores_and_training_rows_need_complete_rows_only(spark, panel, model):
+    from panelspark.operators import folds as cv
+
+    odd = frame(spark, [("T9", days(1)[0], None, 1, 1.0, 1.0), ("T9", days(2)[1], 1.0, None, 2.0, 3.0), ("T9", days(3)[2], 1.0, 1, 1.0, None)], SCHEMA)
+    rows = panel.unionByName(odd)
+    kept = md.model_columns(rows, ["ticker", "date"], FEATURES, "target")
+    assert kept.columns == ["ticker", "date", "target", *FEATURES]
+    t9 = result(kept.where("ticker = 'T9'"), "date")
+    assert t9[["target", *FEATURES]].isna().sum(axis=1).tolist() == [4, 4, 1]
+    train, same = (cv.training_rows(x, FEATURES, "target")[0].select(*kept.columns) for x in (rows, kept))
+    assert sorted(train.collect()) == sorted(same.collect()) and train.count() == panel.count()
+    one, other = (result(md.score(model, x, FEATURES), "ticker", "date").predicted_score for x in (rows, kept))
+    pd.testing.assert_series_equal(one, other)

@@ -1,11 +1,13 @@
 """The plans that matter at scale: exchanges, sorts, broadcasts and what the scan reads."""
 
 import re
+import time
 
 import pytest
 from conftest import BAR_DDL, bars_pdf, frame, plan
 from pyspark.sql import functions as F
 
+from panelspark import storage
 from panelspark.functions.crossrank import group_rank
 from panelspark.operators import backtest, features, fracdiff, labels, portfolio
 from panelspark.plans import catalog, inputs
@@ -121,3 +123,55 @@ def test_bars_of_a_few_tickers_are_those_of_all(spark, data):
     named, every = inputs.bars_of(spark, data, ["S1", "MKT"]), inputs.daily_bars(spark, data).where("ticker in ('S1', 'MKT')")
     assert sorted(named.collect()) == sorted(every.collect())
     assert "explode" not in plan(named).lower()
+
+
+def shuffle_files(spark):
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in held.split("\n") if "/shuffle_" in f}
+
+
+@pytest.mark.parametrize("slice_rows", [None, 2000])
+def test_stored_bars_are_those_of_all_slices_and_leave_no_shuffle_files(spark, data, slice_rows):
+    before = shuffle_files(spark)
+    got = inputs.all_bars(spark, data, slice_rows)
+    waited = time.monotonic() + 20  # files are removed in the background
+    while shuffle_files(spark) - before and time.monotonic() < waited:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert sorted(got.collect()) == sorted(inputs.daily_bars(spark, data).collect())
+
+
+def test_the_market_is_built_without_another_exchange_of_all_bars(spark, data):
+    assert "explode" not in plan(inputs.daily_bars(spark, data)).lower()
+
+
+@pytest.mark.parametrize("panel", [inputs.model_panel])
+@pytest.mark.parametrize("partitions", ["2", "4", "24"])
+def test_panels_exchange_narrow_rows_once(spark, data, panel, partitions):
+    """Whatever the universe's size and the session's partitions, the bars are dealt once and nothing wide is joined or exchanged."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide, narrow = plan(panel(spark, data)).split("MapInArrow", 1)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "Exchange" not in wide and "Join" not in wide and "InArrow" not in narrow and "lineitem" not in narrow
+    # the bars', the universe's, and with labels the market's own of both
+    assert narrow.count("Exchange hashpartitioning(ticker") == 4
+
+
+@pytest.mark.parametrize("name, tables", [("model_scores", 2)])
+def test_models_store_no_wide_panel(spark, data, monkeypatch, name, tables):
+    """Training rows are stored with what a model reads, and for scores the features of complete rows."""
+    made, real = [], storage.materialize
+    monkeypatch.setattr(storage, "materialize", lambda df: made.append(real(df)) or made[-1])
+    catalog.QUERIES[name](spark, data)
+    wide = [t for t in made if len(t.columns) > 7]
+    assert len(wide) == tables and wide[-1].where(F.col("date") > F.lit(catalog.TRAIN_END).cast("date")).count() == 0
+    features = wide[-1].columns[3:]
+    for t in wide:
+        assert {"open", "sma_50", "log_close"}.isdisjoint(t.columns)
+        missing = F.array(*[F.col(c).isNull() for c in features])
+        assert t.where(F.array_contains(missing, True) & F.array_contains(missing, False)).isEmpty()
