@@ -162,7 +162,7 @@ def test_panels_exchange_narrow_rows_once(spark, data, panel, partitions):
     assert narrow.count("Exchange hashpartitioning(ticker") == 4
 
 
-@pytest.mark.parametrize("name, tables", [("model_scores", 2), ("cv_search", 1)])
+@pytest.mark.parametrize("name, tables", [("model_scores", 2), ("cv_search", 1), ("feature_importance", 1)])
 def test_models_store_no_wide_panel(spark, data, monkeypatch, name, tables):
     """Training rows are stored with what a model reads, and for scores the features of complete rows."""
     made, real = [], storage.materialize
